@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandcube.functions.hmm import forward_backward
 from strandcube.functions.values import present
 from strandcube.operators.effects import Field, fit_effects, observations
 from strandcube.session import cut, parallelism, small
@@ -52,39 +53,6 @@ class SpikeModel:
     broadcast_blocks: int = 300_000
 
 
-def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """State probabilities of many sequences laid end to end in ``emissions`` (rows x states)."""
-    if not len(emissions):
-        return emissions
-    order = np.argsort(-lengths, kind="stable")
-    rank = np.empty(len(lengths), int)
-    rank[order] = np.arange(len(lengths))
-    seq = np.repeat(np.arange(len(lengths)), lengths)
-    pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    steps, k = int(lengths.max()), emissions.shape[1]
-    grid = np.ones((steps, len(lengths), k))
-    grid[pos, rank[seq]] = emissions
-    active = np.searchsorted(-lengths[order], -np.arange(steps), side="left")
-    alpha = np.empty_like(grid)
-    a = start * grid[0]
-    a /= a.sum(1, keepdims=True)
-    alpha[0] = a
-    for t in range(1, steps):
-        n = active[t]
-        a = (a[:n] @ transitions) * grid[t, :n]
-        a /= a.sum(1, keepdims=True)
-        alpha[t, :n] = a
-    b = np.ones((len(lengths), k))
-    back = transitions.T
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        alpha[t, :n] *= b[:n]
-        c = (grid[t, :n] * b[:n]) @ back
-        b[:n] = c / c.max(1, keepdims=True)
-    out = alpha[pos, rank[seq]]
-    return out / out.sum(1, keepdims=True)
-
-
 def _emissions(z: np.ndarray, run: np.ndarray, outside: np.ndarray, calm: np.ndarray, m: SpikeModel) -> np.ndarray:
     e = np.empty((len(z), 4))
     nu = m.freedom

@@ -85,7 +85,7 @@ def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = [F.col("segment_key"), _day_key("day"), F.col("is_idle")]
     for w in (7, 30):
         total = F.col(f"units_{w}d") / 10_000
-        out += [F.col(f"incidents_{w}d").cast("bigint").alias(f"incidents_{w}d"), total.alias(f"congestion_total_{w}d"), F.round(ratio(total, F.col(f"n_congestion_index_{w}d")), 8).alias(f"congestion_mean_{w}d")]
+        out += [F.col(f"incidents_{w}d").cast("bigint").alias(f"incidents_{w}d"), total.alias(f"congestion_total_{w}d"), ratio(total, F.col(f"n_congestion_index_{w}d")).alias(f"congestion_mean_{w}d")]
     return t.select(*out)
 
 
@@ -151,9 +151,9 @@ full_days AS (
          coalesce(incidents, 0) AS i, coalesce(n, 0) AS n, coalesce(units, 0) AS u FROM days LEFT JOIN daily USING (segment_key, day))
 SELECT segment_key, CAST(strftime(day, '%Y%m%d') AS BIGINT) AS day_key, is_idle,
   CAST(sum(i) OVER w7 AS BIGINT) AS incidents_7d, CAST(sum(u) OVER w7 AS BIGINT) / 10000 AS congestion_total_7d,
-  round(CAST(sum(u) OVER w7 AS BIGINT) / 10000 / nullif(sum(n) OVER w7, 0), 8) AS congestion_mean_7d,
+  CAST(sum(u) OVER w7 AS BIGINT) / 10000 / nullif(CAST(sum(n) OVER w7 AS BIGINT), 0) AS congestion_mean_7d,
   CAST(sum(i) OVER w30 AS BIGINT) AS incidents_30d, CAST(sum(u) OVER w30 AS BIGINT) / 10000 AS congestion_total_30d,
-  round(CAST(sum(u) OVER w30 AS BIGINT) / 10000 / nullif(sum(n) OVER w30, 0), 8) AS congestion_mean_30d
+  CAST(sum(u) OVER w30 AS BIGINT) / 10000 / nullif(CAST(sum(n) OVER w30 AS BIGINT), 0) AS congestion_mean_30d
 FROM full_days
 WINDOW w7 AS (PARTITION BY segment_key ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
        w30 AS (PARTITION BY segment_key ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
