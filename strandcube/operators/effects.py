@@ -3,7 +3,7 @@
 The model of a value of group g in slot k (hour of the week's two kinds of day)
 and hour t is
 
-    y = cell(g, k) + b(t) * scale(g) + noise,
+    y = cell(g, k) + b(t) + noise,
 
 with the cell mean shrunk towards group and slot means and b(t) shrunk towards
 0, each by its estimated variance component. All that is ever shuffled are
@@ -73,7 +73,7 @@ class Effects:
         made = {}
         for f in self.fields:
             mu, sd = self.grand[f.name]
-            made[f"m_{f.name}"] = F.coalesce(f"m_{f.name}", F.lit(mu)) + F.coalesce(f"b_{f.name}", F.lit(0.0)) * F.coalesce(f"sg_{f.name}", F.lit(sd))
+            made[f"m_{f.name}"] = F.coalesce(f"m_{f.name}", F.lit(mu)) + F.coalesce(f"b_{f.name}", F.lit(0.0))
             made[f"s_{f.name}"] = F.coalesce(f"s_{f.name}", F.lit(sd))
         return out.withColumns(made).drop(*[f"{p}_{f.name}" for f in self.fields for p in ("b", "sg")])
 
@@ -138,7 +138,7 @@ def fit_effects(obs: DataFrame, fields: Sequence[Field], rounds: int = 2, pool:
     """Fit :class:`Effects` to :func:`observations`.
 
     Each round takes cell means of the values, without those that lie more than
-    3 (later 4) deviations from the previous fit, then the mean clipped
+    3 deviations from the previous fit, then the mean clipped
     deviation per hour. Only rows with ``_ok`` are fitted. ``pool`` is the weight
     of the group's spread in a cell's spread, ``time_prior`` the number of
     readings as which "no effect" counts in an hour.
@@ -154,13 +154,18 @@ def fit_effects(obs: DataFrame, fields: Sequence[Field], rounds: int = 2, pool:
             values = {}
             for f in fields:
                 y, m, sg = F.col(f"y_{f.name}"), F.col(f"m_{f.name}"), F.col(f"sg_{f.name}")
-                rest = y - F.coalesce(f"b_{f.name}", F.lit(0.0)) * sg
+                rest = y - F.coalesce(f"b_{f.name}", F.lit(0.0))
                 values[f.name] = F.when(F.abs(rest - m) < 3 * sg, rest)
         cells, grand = _cells(_sums(base, values), fields, pool)
         near = obs.where("_ok").join(small(cells, BROADCAST_CELLS), ["_g", "_k"])
+        if effects is not None:
+            near = near.join(small(effects.times, BROADCAST_TIMES), "_t", "left")
         aggs = []
         for f in fields:
-            r = clip((F.col(f"y_{f.name}") - F.col(f"m_{f.name}")) / F.col(f"sg_{f.name}"), -2.5, 2.5)
+            # clipped around the last round's effect, so that a strong effect is not clipped away
+            centre = F.lit(0.0) if effects is None else F.coalesce(f"b_{f.name}", F.lit(0.0))
+            sg = F.col(f"sg_{f.name}")
+            r = clip((F.col(f"y_{f.name}") - F.col(f"m_{f.name}") - centre) / sg, -2.5, 2.5) * sg + centre
             aggs.append((F.coalesce(F.sum(r), F.lit(0.0)) / (F.count(r) + time_prior)).alias(f"b_{f.name}"))
         times = cut(near.where(F.col("_t").isNotNull()).groupBy("_t").agg(*aggs))
         effects = Effects(fields, cells, times, grand)
