@@ -85,9 +85,9 @@ def match_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     tol = int(tolerance_s * 1_000_000)
     width = max(int((bucket_s or 16 * tolerance_s) * 1_000_000), 2 * tol, 1)
     side = lambda df, e, t, i: df.select(e.cast("bigint").alias("e"), F.unix_micros(F.col(t)).alias("t"), F.col(i).cast("string").alias("id")).dropna()
-    lefts = side(left, entity[0], times[0], left_id).distinct().withColumns({"b": F.floor(F.col("t") / width).cast("bigint"), "r": F.lit(False)})
-    span = F.sequence(F.floor((F.col("t") - tol) / width), F.floor((F.col("t") + tol) / width))
-    rights = side(right, entity[1], times[1], right_id).select("e", "t", "id", F.explode(span).cast("bigint").alias("b"), F.lit(True).alias("r"))
+    lefts = side(left, entity[0], times[0], left_id).distinct().withColumns({"b": F.expr(f"t div {width}"), "r": F.lit(False)})
+    span = F.expr(f"sequence((t - {tol}) div {width}, (t + {tol}) div {width})")
+    rights = side(right, entity[1], times[1], right_id).select("e", "t", "id", F.explode(span).alias("b"), F.lit(True).alias("r"))
     rows = lefts.select(*COLUMNS).unionByName(rights.select(*COLUMNS)).repartition("e", "b").sortWithinPartitions("e", "b", "t", "id")
     kinds = (left.schema[left_id].dataType.simpleString(), right.schema[right_id].dataType.simpleString())
     out = rows.mapInPandas(lambda batches: merge_sorted(batches, tol), "l string, r string, d bigint")

@@ -11,7 +11,7 @@ bounded fan-in and compressed to the uncertainty their round is permitted.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -125,12 +125,16 @@ def _merge_frame(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
     return _rows(keys, [int(pdf["part"].iloc[0]) // FAN_IN] * len(keys), out)
 
 
+def _merger(share: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: _merge_frame(pdf, share)
+
+
 def _merge_rounds(rows: DataFrame, parts: int, shares: Sequence[float]) -> DataFrame:
     schema = _schema(rows.schema["k"].dataType.simpleString())
     buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for share in shares:
         keyed = rows.withColumns({"_b": F.pmod(F.xxhash64("k"), F.lit(buckets)), "_g": F.expr(f"part div {FAN_IN}")})
-        rows = keyed.groupBy("_b", "_g").applyInPandas(lambda p, s=share: _merge_frame(p, s), schema)
+        rows = keyed.groupBy("_b", "_g").applyInPandas(_merger(share), schema)
     return rows
 
 
