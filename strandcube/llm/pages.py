@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandcube.functions.hmm import forward_backward
+from strandcube.session import cut
 
 STATES = ("prose", "links", "tags", "menu")
 
@@ -35,7 +36,7 @@ _TAG = re.compile(r"</?(?:p|br|div|b|i|em|strong|span|h[1-6])\b[^>]*>", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"\w+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|\b[\w-]*[a-zA-Z][\w-]*(?:\.[\w-]+)*\.[a-z]{2,12}\b")
-_SEPARATOR = re.compile(r"[|•·»›;,]|(?<=\s)[-–/>](?=\s)")
+_SEPARATOR = re.compile(r"[|•·»›;,]|(?<=\s)[-–/>](?=\s)|(?<=\w)[.!?](?=\s)")
 _RECORD = re.compile(r"^\W*(?:\d{1,2}:\d\d\b|\d+\s*x\s|\d{4}-\d\d-\d\d|\d{1,3}[.)]\s)")
 _CLOCK = re.compile(r"\b\d{1,2}:\d\d\b")
 _OFFER = re.compile(r"(?<![\d.:])\d+[.,]\d\d\b(?![.:]\d)|-?\d+ ?%|\bsku\b|[$€£]", re.I)
@@ -105,7 +106,7 @@ def split_units(text: str) -> list[str]:
         held: list[str] = []
         for piece in _SENTENCE.split(line.strip()):
             held += piece.split()
-            if len(held) >= STUB_TOKENS:
+            if len(held) >= 3 * STUB_TOKENS or len(piece.split(None, STUB_TOKENS)) >= STUB_TOKENS:
                 units += _cut(held)
                 held = []
         if held:
@@ -130,15 +131,16 @@ def unit_features(unit: str) -> tuple[list[int], int]:
     marks = len(_SEPARATOR.findall(unit)) / n
     offer = _level(len(_OFFER.findall(unit)) / n, 0.06, 0.15)
     record = int(not link and offer < 2 and (bool(_RECORD.match(unit)) or len(_CLOCK.findall(unit)) >= 2))
-    content = [w for w in words if w not in FUNCTION_WORDS and not w.isdigit()]
-    share = (n - sum(w not in FUNCTION_WORDS for w in words)) / n
+    plain = [w not in FUNCTION_WORDS for w in words]
+    share = 1 - sum(plain) / n
     function = (1 if n < 5 else 0 if share >= 0.17 else 1 if share >= 0.08 else 2) if not record else RECORD_LEVEL
     repeated = 0.0
     if n >= 6 and not record:
-        pairs = Counter(zip(words, words[1:], strict=False))
-        twice = sum(2 * c for (a, b), c in pairs.items() if c >= 2 and a not in FUNCTION_WORDS and b not in FUNCTION_WORDS)
-        thrice = sum(c for c in Counter(content).values() if c >= 3)
-        repeated = min(1.0, max(twice, thrice) / n)
+        if len(set(words)) <= n - 1:
+            pairs = Counter((a, b) for a, b, p, q in zip(words, words[1:], plain, plain[1:], strict=False) if p and q)
+            twice = sum(2 * c for c in pairs.values() if c >= 2)
+            thrice = sum(c for w, c in Counter(words).items() if c >= 3 and w not in FUNCTION_WORDS and not w.isdigit())
+            repeated = min(1.0, max(twice, thrice) / n)
     ends = int(unit[-1] in ".!?" and not link)
     return [link, tag, _level(marks, 0.16, 0.28), function, _level(repeated, 0.12, 0.3), record, ends, offer], n
 
@@ -157,39 +159,37 @@ def _emit(levels: np.ndarray, model: PageModel) -> np.ndarray:
     return np.exp(logs - logs.max(1, keepdims=True))
 
 
-def _posterior(texts: Sequence[str | None], model: PageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths in units, levels, words and state probabilities of many pages."""
-    pages = [page_features(t) for t in texts]
-    lengths = np.array([len(p[1]) for p in pages], np.int64)
-    levels = np.concatenate([p[0] for p in pages]) if pages else np.empty((0, FEATURES), np.int8)
-    words = np.concatenate([p[1] for p in pages]) if pages else np.empty(0, np.int64)
+def page_frame(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, levels, words``: each row's features as bytes, computed once for training and scoring."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pages = [page_features(t) for t in pdf["t"]]
+            yield pd.DataFrame({"id": pdf["id"], "levels": [p[0].tobytes() for p in pages], "words": [p[1].astype(np.int32).tobytes() for p in pages]})
+
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    return cut(rows.mapInPandas(extract, f"id {df.schema[doc_id].dataType.simpleString()}, levels binary, words binary"))
+
+
+def _posterior(pdf: pd.DataFrame, model: PageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths in units, levels, words and state probabilities of a batch of :func:`page_frame`."""
+    words = np.frombuffer(b"".join(pdf["words"]), np.int32)
+    levels = np.frombuffer(b"".join(pdf["levels"]), np.int8).reshape(-1, FEATURES)
+    lengths = np.array([len(w) // 4 for w in pdf["words"]], np.int64)
     full = lengths[lengths > 0]
     post = forward_backward(_emit(levels, model), full, np.array(model.transitions), np.array(model.start)) if len(full) else np.empty((0, len(STATES)))
     return lengths, levels, words, post
 
 
-def train_page_model(df: DataFrame, text: str, rounds: int = 1, prior: PageModel = PRIOR, strength: float = 0.5) -> PageModel:
-    """Expectation maximisation over all pages of ``df``; only expected counts (under 100 numbers a task) reach the driver.
+def train_page_model(pages: DataFrame, rounds: int = 1, prior: PageModel = PRIOR, strength: float = 0.5) -> PageModel:
+    """Expectation maximisation over all of :func:`page_frame`; only expected counts (under 100 numbers a task) reach the driver.
 
     ``strength`` is the share of the data's weight with which the prior tables
     count, so that the states keep their meaning on any corpus.
     """
     model = prior
     for _ in range(rounds):
-
-        def count(batches: Iterator[pd.DataFrame], m: PageModel = model) -> Iterator[pd.DataFrame]:
-            sums: dict[tuple[int, int, int], float] = Counter()
-            for pdf in batches:
-                lengths, levels, _, post = _posterior(pdf["t"].tolist(), m)
-                for j, table in enumerate(m.levels):
-                    for v in range(len(table[0])):
-                        total = post[levels[:, j] == v].sum(0)
-                        for s, x in enumerate(total):
-                            sums[j, s, v] += float(x)
-            if sums:
-                yield pd.DataFrame([(j, s, v, x) for (j, s, v), x in sums.items()], columns=["j", "s", "v", "x"])
-
-        rows = df.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInPandas(count, "j int, s int, v int, x double").groupBy("j", "s", "v").agg(F.sum("x").alias("x")).collect()
+        rows = pages.mapInPandas(_counter(model), "j int, s int, v int, x double").groupBy("j", "s", "v").agg(F.sum("x").alias("x")).collect()
         got = {(r.j, r.s, r.v): r.x for r in rows}
         tables = []
         for j, table in enumerate(prior.levels):
@@ -203,16 +203,36 @@ def train_page_model(df: DataFrame, text: str, rounds: int = 1, prior: PageModel
     return model
 
 
-def page_shares(df: DataFrame, doc_id: str, text: str, model: PageModel) -> DataFrame:
+def _counter(model: PageModel) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Expected counts of (feature, state, level) of a task's pages."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int, int], float] = Counter()
+        for pdf in batches:
+            _, levels, _, post = _posterior(pdf, model)
+            for j, table in enumerate(model.levels):
+                for v in range(len(table[0])):
+                    for s, x in enumerate(post[levels[:, j] == v].sum(0)):
+                        sums[j, s, v] += float(x)
+        if sums:
+            yield pd.DataFrame([(j, s, v, x) for (j, s, v), x in sums.items()], columns=["j", "s", "v", "x"])
+
+    return count
+
+
+def page_shares(df: DataFrame, doc_id: str, text: str, model: PageModel | None = None) -> DataFrame:
     """Per row of ``df``: ``doc_id, n_words`` and the share of its words in each state (0 if it has no words).
 
-    NULL and empty texts have 0 words. Whole texts are read, however long; rows
-    are independent, so repeated rows and ids give repeated results.
+    Without ``model`` one is trained on these pages. NULL and empty texts have 0
+    words. Whole texts are read, however long; rows are scored one by one, so
+    repeated rows and ids give repeated results.
     """
+    pages = page_frame(df, doc_id, text)
+    found = model or train_page_model(pages)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lengths, _, words, post = _posterior(pdf["t"].tolist(), model)
+            lengths, _, words, post = _posterior(pdf, found)
             page = np.repeat(np.arange(len(lengths)), lengths)
             total = np.bincount(page, words, len(lengths))
             out = {"id": pdf["id"], "n_words": total.astype(np.int64)}
@@ -222,11 +242,10 @@ def page_shares(df: DataFrame, doc_id: str, text: str, model: PageModel) -> Data
 
     kind = df.schema[doc_id].dataType.simpleString()
     shares = ", ".join(f"{s}_share double" for s in STATES)
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    return rows.mapInPandas(score, f"id {kind}, n_words bigint, {shares}").withColumnRenamed("id", doc_id)
+    return pages.mapInPandas(score, f"id {kind}, n_words bigint, {shares}").withColumnRenamed("id", doc_id)
 
 
 def stuffed_pages(df: DataFrame, doc_id: str, text: str, model: PageModel | None = None, min_share: float = 0.35) -> DataFrame:
     """The pages with more than ``min_share`` of their words outside prose, with their shares."""
-    shares = page_shares(df, doc_id, text, model or train_page_model(df, text))
+    shares = page_shares(df, doc_id, text, model)
     return shares.where((F.col("n_words") > 0) & (1 - F.col("prose_share") > min_share))

@@ -10,7 +10,7 @@ from strandcube.functions.values import present
 from strandcube.llm.mixing import Target, mix, mix_shares
 from strandcube.llm.nearest import match_nearest
 from strandcube.llm.packing import pack, packing_report
-from strandcube.llm.pages import page_shares, stuffed_pages, train_page_model
+from strandcube.llm.pages import page_shares, stuffed_pages
 from strandcube.llm.pairs import item_pairs
 from strandcube.llm.percentiles import merge_summaries, quantile_summaries, quantiles
 from strandcube.llm.tokens import TOKENIZER, token_counts
@@ -140,7 +140,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words and the share of them in prose, link lists, tag lists and menus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return page_shares(docs, "doc_id", "text", train_page_model(docs, "text"))
+    return page_shares(docs, "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
