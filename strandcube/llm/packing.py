@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandcube.session import cut, parallelism
+
 #: Container ids are bucket * STRIDE + number within the bucket.
 STRIDE = 1 << 32
 
@@ -167,9 +169,11 @@ def pack(sizes: DataFrame, item: str, tokens: str, capacities: Sequence[tuple[st
     caps = [(str(n), int(k)) for n, k in capacities]
     if any(k < 1 for _, k in caps):
         raise ValueError("capacities are positive numbers of tokens")
-    buckets = max(1, -(-sizes.count() // bucket_items))
-    rows = sizes.select(F.col(item).alias("id"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("bigint"))
+    rows = cut(sizes.select(F.col(item).alias("id"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n")))
+    buckets = max(1, -(-rows.count() // bucket_items))
+    # Sizes are few bytes and much work: the number of tasks is set here, not by their volume.
+    tasks = min(buckets, 4 * parallelism(sizes.sparkSession))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("bigint")).repartition(tasks, "bucket")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
