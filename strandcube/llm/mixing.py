@@ -5,7 +5,8 @@ membership patterns (the set of target sources a text belongs to), which are few
 a min-cost flow routes the patterns' tokens to the sources' quotas, the r-th use
 of a pattern costing more than the one before. The records of each pattern are
 then laid out in seeded random order by a distributed prefix sum, and each stretch
-of the line goes to the source the flow gave it to.
+of the line goes, with the records whose middle it holds, to the source the flow
+gave it to.
 """
 
 from __future__ import annotations
@@ -170,7 +171,8 @@ def mix(records: DataFrame, record: str, source: str, content: str, size: str, t
     plan = records.sparkSession.createDataFrame(stretches, "_p array<string>, _s string, _a bigint, _b bigint")
     per_pattern = plan.groupBy("_p").agg(F.collect_list(F.struct("_s", "_a", "_b")).alias("_plan"))
     used = placed.join(F.broadcast(per_pattern), "_p")  # one row per pattern, at most MAX_PATTERNS
-    hit = F.filter("_plan", lambda x: (F.col("_at") >= x["_a"]) & (F.col("_at") < x["_b"]))
+    middle = 2 * F.col("_at") + F.col("_size")
+    hit = F.filter("_plan", lambda x: (middle >= 2 * x["_a"]) & (middle < 2 * x["_b"]))
     uses = used.select("_key", "_size", "_sources", F.explode(F.transform(hit, lambda x: x["_s"])).alias("_s"))
     uses = uses.groupBy("_key", "_s").agg(F.count(F.lit(1)).cast("int").alias("n_uses"), F.first("_size").alias("n_tokens"), F.first(F.element_at("_sources", F.col("_s"))).alias("_id"))
     return uses.select(F.col("_id").alias(record), F.col("_s").alias("source"), "n_uses", "n_tokens")
