@@ -27,7 +27,8 @@ def summary(matrix: DataFrame) -> DataFrame:
     """One row: ``accuracy, macro_precision, macro_recall, macro_f1``."""
     acc = matrix.agg((F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).cast("double") / F.sum("n")).alias("accuracy"))
     macro = class_report(matrix).agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))
-    return acc.crossJoin(F.broadcast(macro))  # one row each
+    key = {"_one": F.lit(1)}
+    return acc.withColumns(key).join(F.broadcast(macro.withColumns(key)), "_one").drop("_one")  # one row each
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str):

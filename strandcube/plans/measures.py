@@ -69,7 +69,8 @@ class MeasureModel:
 
 def _merge(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     if not by:
-        return a.join(F.broadcast(b), F.lit(True), "full")  # one row each
+        one = {"_one": F.lit(1)}
+        return a.withColumns(one).join(F.broadcast(b.withColumns(one)), "_one").drop("_one")  # one row each
     r = b.select(*[F.col(c).alias(f"_r_{c}") for c in by], *[c for c in b.columns if c not in by])
     on = None
     for c in by:
