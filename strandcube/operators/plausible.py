@@ -113,7 +113,7 @@ def label_rows(pdf: pd.DataFrame, fields: Sequence[tuple[str, float, float]], m:
             if len(sel):
                 kind = np.where(own[sel], 3, r_state[sel])
                 out.append(pd.DataFrame({"_id": ids[rows[sel]], "field_name": name, "kind": np.array(STATES, object)[kind], "probability": np.where(own[sel], 1.0, r_p[sel])}))
-    return pd.concat(out) if out else pd.DataFrame({"_id": [], "field_name": [], "kind": [], "probability": []})
+    return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("_id", "field_name", "kind", "probability")})
 
 
 def _cut_hours(pdf: pd.DataFrame, names: Sequence[str], m: SpikeModel) -> pd.DataFrame:

@@ -93,9 +93,9 @@ def sound_facts(fact: DataFrame, refs: list[Reference]) -> DataFrame:
     """The rows of ``fact`` whose keys named in ``refs`` are all non-null and lead to a parent in force."""
     out = fact
     for i, r in enumerate(refs):
-        bad = small(suspect_keys(r).select(F.col("_k").alias(f"_k{i}"), F.col("_versions").alias(f"_v{i}")), BROADCAST_KEYS)
-        out = out.where(F.col(r.key).isNotNull()).join(bad, F.col(r.key).cast("bigint") == F.col(f"_k{i}"), "left")
-        out = out.where(F.col(f"_v{i}").isNull() | ~_fails(F.col(f"_v{i}"), F.col(r.fact_time))).drop(f"_k{i}", f"_v{i}")
+        bad = small(suspect_keys(r).select(F.col("_k").alias(f"__ref_key_{i}"), F.col("_versions").alias(f"__ref_versions_{i}")), BROADCAST_KEYS)
+        out = out.where(F.col(r.key).isNotNull()).join(bad, F.col(r.key).cast("bigint") == F.col(f"__ref_key_{i}"), "left")
+        out = out.where(F.col(f"__ref_versions_{i}").isNull() | ~_fails(F.col(f"__ref_versions_{i}"), F.col(r.fact_time))).drop(f"__ref_key_{i}", f"__ref_versions_{i}")
     return out
 
 
