@@ -151,7 +151,7 @@ def pack_bucket(ids: Sequence, tokens: np.ndarray, capacities: Sequence[tuple[st
         n = np.r_[np.full(len(at), cap), last[items]]
         pieces = np.r_[piece, full[items]]
         frames.append(pd.DataFrame({"id": ids[doc], "container_name": name, "number": np.r_[made + np.arange(len(at)), number], "piece": pieces, "start": pieces * cap, "n_tokens": n}))
-    return pd.concat(frames) if frames else pd.DataFrame({"id": [], "container_name": [], "number": [], "piece": [], "start": [], "n_tokens": []})
+    return pd.concat(frames) if frames else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "container_name", "number", "piece", "start", "n_tokens")})
 
 
 def pack(sizes: DataFrame, item: str, tokens: str, capacities: Sequence[tuple[str, int]], cost: Cost | None = None, bucket_items: int = 16_384) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandcube.functions.hmm import forward_backward
-from strandcube.session import cut
+from strandcube.session import cut, spread
 
 STATES = ("prose", "links", "tags", "menu")
 
@@ -167,7 +167,7 @@ def page_frame(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             pages = [page_features(t) for t in pdf["t"]]
             yield pd.DataFrame({"id": pdf["id"], "levels": [p[0].tobytes() for p in pages], "words": [p[1].astype(np.int32).tobytes() for p in pages]})
 
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    rows = spread(df.select(F.col(doc_id).alias("id"), F.col(text).alias("t")))
     return cut(rows.mapInPandas(extract, f"id {df.schema[doc_id].dataType.simpleString()}, levels binary, words binary"))
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandcube.session import spread
+
 #: Vocabulary file; a parameter of every operator that counts tokens.
 TOKENIZER = os.environ.get("STRANDCUBE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
@@ -37,9 +39,9 @@ def token_counts(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = load(tokenizer)
         for pdf in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["_t"]]
-            yield pdf.drop(columns="_t").assign(_n=pd.Series(n, index=pdf.index, dtype="int64"))
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["__text"]]
+            yield pdf.drop(columns="__text").assign(__n=pd.Series(n, index=pdf.index, dtype="int64"))
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["_n bigint"])
-    rows = df.select(*keep, F.col(text).alias("_t"))
-    return rows.mapInPandas(count, schema).withColumnRenamed("_n", out)
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["__n bigint"])
+    rows = spread(df.select(*keep, F.col(text).alias("__text")))
+    return rows.mapInPandas(count, schema).withColumnRenamed("__n", out)
