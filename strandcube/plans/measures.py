@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +18,7 @@ class Measure:
 
     name: str
     fact: str
-    expr: Column
+    expr: Callable[[], Column]
     override: tuple[str, ...] = ()
 
 
@@ -28,7 +28,7 @@ class Derived:
 
     name: str
     needs: tuple[str, ...]
-    expr: Column
+    expr: Callable[[], Column]
 
 
 @dataclass
@@ -61,9 +61,9 @@ class MeasureModel:
             rows = self.facts[fact]
             for c in live:
                 rows = rows.where(F.col(c).isin(*where[c]))
-            part = rows.groupBy(*by).agg(*[m.expr.alias(m.name) for m in ms])
+            part = rows.groupBy(*by).agg(*[m.expr().alias(m.name) for m in ms])
             out = part if out is None else _merge(out, part, by)
-        out = out.withColumns({n: derived[n].expr for n in names if n in derived})
+        out = out.withColumns({n: derived[n].expr() for n in names if n in derived})
         return out.select(*by, *names)
 
 
@@ -89,46 +89,46 @@ def count_where(cond: Column) -> Column:
 
 
 TRAFFIC = (
-    Measure("observations", "traffic", F.count(F.lit(1))),
-    Measure("avg_congestion", "traffic", exact_avg(F.col("congestion_index"))),
-    Measure("peak_congestion", "traffic", F.max("congestion_index")),
-    Measure("avg_speed", "traffic", exact_avg(F.col("avg_speed_kmph"))),
-    Measure("avg_speed_ratio", "traffic", exact_avg(F.col("speed_ratio"))),
-    Measure("avg_travel_time", "traffic", exact_avg(F.col("travel_time_min"))),
-    Measure("avg_delay_index", "traffic", exact_avg(F.col("delay_index"))),
-    Measure("vehicle_km_total", "traffic", exact_sum(F.col("vehicle_km"))),
-    Measure("congested_hours", "traffic", count_where(F.col("is_congested") == 1)),
-    Measure("avg_congestion_adverse", "traffic", exact_avg(when("is_adverse", 1, "congestion_index")), ("is_adverse",)),
-    Measure("avg_congestion_dry", "traffic", exact_avg(when("is_adverse", 0, "congestion_index")), ("is_adverse",)),
-    Measure("avg_congestion_peak", "traffic", exact_avg(when("is_peak_hour", 1, "congestion_index")), ("is_peak_hour",)),
-    Measure("avg_congestion_offpeak", "traffic", exact_avg(when("is_peak_hour", 0, "congestion_index")), ("is_peak_hour",)),
+    Measure("observations", "traffic", lambda: F.count(F.lit(1))),
+    Measure("avg_congestion", "traffic", lambda: exact_avg(F.col("congestion_index"))),
+    Measure("peak_congestion", "traffic", lambda: F.max("congestion_index")),
+    Measure("avg_speed", "traffic", lambda: exact_avg(F.col("avg_speed_kmph"))),
+    Measure("avg_speed_ratio", "traffic", lambda: exact_avg(F.col("speed_ratio"))),
+    Measure("avg_travel_time", "traffic", lambda: exact_avg(F.col("travel_time_min"))),
+    Measure("avg_delay_index", "traffic", lambda: exact_avg(F.col("delay_index"))),
+    Measure("vehicle_km_total", "traffic", lambda: exact_sum(F.col("vehicle_km"))),
+    Measure("congested_hours", "traffic", lambda: count_where(F.col("is_congested") == 1)),
+    Measure("avg_congestion_adverse", "traffic", lambda: exact_avg(when("is_adverse", 1, "congestion_index")), ("is_adverse",)),
+    Measure("avg_congestion_dry", "traffic", lambda: exact_avg(when("is_adverse", 0, "congestion_index")), ("is_adverse",)),
+    Measure("avg_congestion_peak", "traffic", lambda: exact_avg(when("is_peak_hour", 1, "congestion_index")), ("is_peak_hour",)),
+    Measure("avg_congestion_offpeak", "traffic", lambda: exact_avg(when("is_peak_hour", 0, "congestion_index")), ("is_peak_hour",)),
 )
 INCIDENTS = (
-    Measure("incidents", "incident", F.count(F.lit(1))),
-    Measure("major_incidents", "incident", count_where(F.col("is_major") == 1)),
-    Measure("avg_severity", "incident", exact_avg(F.col("severity"))),
-    Measure("avg_response_time", "incident", exact_avg(F.col("response_time_min"))),
-    Measure("avg_incident_duration", "incident", exact_avg(F.col("duration_min"))),
-    Measure("casualties_total", "incident", F.sum("casualties")),
+    Measure("incidents", "incident", lambda: F.count(F.lit(1))),
+    Measure("major_incidents", "incident", lambda: count_where(F.col("is_major") == 1)),
+    Measure("avg_severity", "incident", lambda: exact_avg(F.col("severity"))),
+    Measure("avg_response_time", "incident", lambda: exact_avg(F.col("response_time_min"))),
+    Measure("avg_incident_duration", "incident", lambda: exact_avg(F.col("duration_min"))),
+    Measure("casualties_total", "incident", lambda: F.sum("casualties")),
 )
 MINING = (
-    Measure("anomalies", "anomaly", F.count(F.lit(1))),
-    Measure("agreed_anomalies", "anomaly", count_where(F.col("agreement") == 1)),
-    Measure("unexplained_anomalies", "anomaly", count_where((F.col("agreement") == 1) & (F.col("incident_count") == 0))),
-    Measure("forecast_mae", "forecast", F.avg(F.abs(F.col("actual") - F.col("predicted")))),
-    Measure("persistence_mae", "forecast", F.avg(F.abs(F.col("actual") - F.col("persistence")))),
-    Measure("rules", "rule", F.count(F.lit(1))),
-    Measure("max_lift", "rule", F.max("lift")),
-    Measure("segments_clustered", "cluster", F.count(F.lit(1))),
+    Measure("anomalies", "anomaly", lambda: F.count(F.lit(1))),
+    Measure("agreed_anomalies", "anomaly", lambda: count_where(F.col("agreement") == 1)),
+    Measure("unexplained_anomalies", "anomaly", lambda: count_where((F.col("agreement") == 1) & (F.col("incident_count") == 0))),
+    Measure("forecast_mae", "forecast", lambda: F.avg(F.abs(F.col("actual") - F.col("predicted")))),
+    Measure("persistence_mae", "forecast", lambda: F.avg(F.abs(F.col("actual") - F.col("persistence")))),
+    Measure("rules", "rule", lambda: F.count(F.lit(1))),
+    Measure("max_lift", "rule", lambda: F.max("lift")),
+    Measure("segments_clustered", "cluster", lambda: F.count(F.lit(1))),
 )
 _c = F.col
 DERIVED = (
-    Derived("congested_hours_pct", ("congested_hours", "observations"), ratio(_c("congested_hours"), _c("observations"))),
-    Derived("major_incident_pct", ("major_incidents", "incidents"), ratio(_c("major_incidents"), _c("incidents"))),
-    Derived("incidents_per_1k_hours", ("incidents", "observations"), ratio(_c("incidents"), _c("observations")) * 1000),
-    Derived("wet_weather_penalty", ("avg_congestion_adverse", "avg_congestion_dry"), _c("avg_congestion_adverse") - _c("avg_congestion_dry")),
-    Derived("peak_offpeak_ratio", ("avg_congestion_peak", "avg_congestion_offpeak"), ratio(_c("avg_congestion_peak"), _c("avg_congestion_offpeak"))),
-    Derived("forecast_lift_pct", ("forecast_mae", "persistence_mae"), ratio(_c("persistence_mae") - _c("forecast_mae"), _c("persistence_mae"))),
+    Derived("congested_hours_pct", ("congested_hours", "observations"), lambda: ratio(_c("congested_hours"), _c("observations"))),
+    Derived("major_incident_pct", ("major_incidents", "incidents"), lambda: ratio(_c("major_incidents"), _c("incidents"))),
+    Derived("incidents_per_1k_hours", ("incidents", "observations"), lambda: ratio(_c("incidents"), _c("observations")) * 1000),
+    Derived("wet_weather_penalty", ("avg_congestion_adverse", "avg_congestion_dry"), lambda: _c("avg_congestion_adverse") - _c("avg_congestion_dry")),
+    Derived("peak_offpeak_ratio", ("avg_congestion_peak", "avg_congestion_offpeak"), lambda: ratio(_c("avg_congestion_peak"), _c("avg_congestion_offpeak"))),
+    Derived("forecast_lift_pct", ("forecast_mae", "persistence_mae"), lambda: ratio(_c("persistence_mae") - _c("forecast_mae"), _c("persistence_mae"))),
 )
 
 

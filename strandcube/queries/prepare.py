@@ -222,8 +222,8 @@ SELECT coalesce(label, mode, 'Clear') AS weather, count(*) AS n FROM wr LEFT JOI
 m AS (SELECT segment_id, dow, h, median(s) AS ms, median(c) AS mc FROM v GROUP BY ALL),
 f AS (SELECT reading_id, segment_id, coalesce(s, ms) AS s, coalesce(c, mc) AS c FROM v JOIN m USING (segment_id, dow, h)), o AS (SELECT median(s) AS os, median(c) AS oc FROM f)
 SELECT reading_id, segment_id, round(coalesce(s, os), 6) AS avg_speed_kmph, round(coalesce(c, oc), 6) AS vehicle_count FROM f, o""",
-    "impute_incident_median": """WITH v AS (SELECT incident_key, coalesce(incident_type_key, -1) AS t, coalesce(severity, -1) AS s, CASE WHEN NOT isnan(duration_min) THEN duration_min END AS d, CASE WHEN NOT isnan(response_time_min) THEN response_time_min END AS r FROM fact_incident),
-m AS (SELECT t, s, median(d) AS md, median(r) AS mr FROM v GROUP BY ALL), f AS (SELECT incident_key, coalesce(d, md) AS d, coalesce(r, mr) AS r FROM v JOIN m USING (t, s)), o AS (SELECT median(d) AS od, median(r) AS orr FROM f)
+    "impute_incident_median": """WITH v AS (SELECT incident_key, incident_type_key AS t, severity AS s, CASE WHEN NOT isnan(duration_min) THEN duration_min END AS d, CASE WHEN NOT isnan(response_time_min) THEN response_time_min END AS r FROM fact_incident),
+m AS (SELECT t, s, median(d) AS md, median(r) AS mr FROM v GROUP BY ALL), f AS (SELECT incident_key, coalesce(d, md) AS d, coalesce(r, mr) AS r FROM v JOIN m ON v.t IS NOT DISTINCT FROM m.t AND v.s IS NOT DISTINCT FROM m.s), o AS (SELECT median(d) AS od, median(r) AS orr FROM f)
 SELECT incident_key, round(coalesce(d, od), 6) AS duration_min, round(coalesce(r, orr), 6) AS response_time_min FROM f, o""",
     "outlier_flags": f"""WITH v AS (SELECT segment_id, {_V['congestion_index']} AS x FROM readings), g AS (SELECT segment_id, avg(x) AS m, stddev_pop(x) AS sd FROM v GROUP BY ALL),
 z AS (SELECT segment_id, (x - m) / coalesce(nullif(sd, 0), 1) AS z FROM v JOIN g USING (segment_id))
