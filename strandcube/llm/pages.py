@@ -40,6 +40,9 @@ _SEPARATOR = re.compile(r"[|•·»›;,]|(?<=\s)[-–/>](?=\s)|(?<=\w)[.!?](?=\
 _RECORD = re.compile(r"^\W*(?:\d{1,2}:\d\d\b|\d+\s*x\s|\d{4}-\d\d-\d\d|\d{1,3}[.)]\s)")
 _CLOCK = re.compile(r"\b\d{1,2}:\d\d\b")
 _OFFER = re.compile(r"(?<![\d.:])\d+[.,]\d\d\b(?![.:]\d)|-?\d+ ?%|\bsku\b|[$€£]", re.I)
+# What a unit must hold for the slower patterns to find anything in it.
+_MAY_LINK = re.compile(r"[\w-]\.[a-z]|://|www\.")
+_MAY_OFFER = re.compile(r"[\d$€£]|sku", re.I)
 UNIT_TOKENS = 25
 #: Lines of fewer tokens are stubs; stubs in a row form one unit.
 STUB_TOKENS = 5
@@ -124,13 +127,13 @@ def unit_features(unit: str) -> tuple[list[int], int]:
     n = len(words)
     if not n:
         return [0] * FEATURES, 0
-    links = len(_LINK.findall(unit))
+    links = len(_LINK.findall(unit)) if _MAY_LINK.search(unit) else 0
     tokens = len(unit.split())
     link = _level(links / tokens, 1e-9, 0.12)
     tag = _level(unit.count("#") / n, 0.02, 0.25)
     marks = len(_SEPARATOR.findall(unit)) / n
-    offer = _level(len(_OFFER.findall(unit)) / n, 0.06, 0.15)
-    record = int(not link and offer < 2 and (bool(_RECORD.match(unit)) or len(_CLOCK.findall(unit)) >= 2))
+    offer = _level(len(_OFFER.findall(unit)) / n, 0.06, 0.15) if _MAY_OFFER.search(unit) else 0
+    record = int(not link and offer < 2 and (bool(_RECORD.match(unit)) or (unit.count(":") >= 2 and len(_CLOCK.findall(unit)) >= 2)))
     plain = [w not in FUNCTION_WORDS for w in words]
     share = 1 - sum(plain) / n
     function = (1 if n < 5 else 0 if share >= 0.17 else 1 if share >= 0.08 else 2) if not record else RECORD_LEVEL
