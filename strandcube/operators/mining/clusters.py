@@ -37,6 +37,61 @@ def kmeans_best(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[i
     return model.transform(rows).drop("_x"), model.clusterCenters(), float(cost)
 
 
+def _lloyd(x: np.ndarray, k: int, seed: int, max_iter: int = 300) -> tuple[float, np.ndarray]:
+    """Inertia and centres of one greedy k-means++ start, run until no point changes its cluster."""
+    rng = np.random.default_rng((seed, k))
+    to = lambda c: ((x - c) ** 2).sum(1)
+    centres = [x[rng.integers(len(x))]]
+    near = to(centres[0])
+    while len(centres) < k and near.sum() > 0:
+        tried = [x[i] for i in rng.choice(len(x), 2 + int(np.log(k)), p=near / near.sum())]
+        left = [np.minimum(near, to(c)) for c in tried]
+        best = int(np.argmin([a.sum() for a in left]))
+        centres.append(tried[best])
+        near = left[best]
+    cen, old = np.array(centres), None
+    for _ in range(max_iter):
+        d = np.stack([to(c) for c in cen], 1)
+        lab = d.argmin(1)
+        if old is not None and (lab == old).all():
+            break
+        old = lab
+        cen = np.array([x[lab == j].mean(0) if (lab == j).any() else cen[j] for j in range(len(cen))])
+    return float(np.stack([to(c) for c in cen], 1).min(1).sum()), cen
+
+
+def kmeans_starts(df: DataFrame, columns: Sequence[str], starts: dict[int, int]) -> dict[int, tuple[float, np.ndarray]]:
+    """``starts`` has the number of starts per k; inertia and centres of the best start of each k.
+
+    Starts are spread over the workers, each of which holds all points; more than
+    ``MAX_POINTS`` are refused. :func:`kmeans_best` takes more, start by start.
+    """
+    spark = df.sparkSession
+    held = df.select(*columns).dropna().limit(MAX_POINTS + 1).toPandas().to_numpy(float)
+    if len(held) > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} points")
+    if not len(held):
+        return {}
+    held = held[np.lexsort(held.T)]  # the same starts at every partitioning
+    shared = spark.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [_lloyd(shared.value, k, s) for k, s in zip(pdf["k"], pdf["s"])]
+            yield pd.DataFrame({"k": pdf["k"], "s": pdf["s"], "cost": [c for c, _ in got], "cen": [m.ravel().tolist() for _, m in got]})
+
+    todo = spark.createDataFrame([(k, s) for k, n in starts.items() for s in range(n)], "k int, s int")
+    tried = todo.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "k int, s int, cost double, cen array<double>")
+    best = tried.groupBy("k").agg(F.min(F.struct("cost", "s", "cen")).alias("b")).collect()  # a row per k
+    return {r.k: (r.b.cost, np.array(r.b.cen).reshape(-1, len(columns))) for r in best}
+
+
+def nearest_centre(df: DataFrame, columns: Sequence[str], centres: np.ndarray, name: str = "cluster") -> DataFrame:
+    """Adds the number of the nearest centre; ties go to the first."""
+    d = [sum(((F.col(c) - float(v)) ** 2 for c, v in zip(columns, m)), F.lit(0.0)) for m in centres]
+    return df.withColumn(name, F.array_min(F.array(*[F.struct(x.alias("d"), F.lit(i).alias("i")) for i, x in enumerate(d)]))["i"])
+
+
 def silhouettes(df: DataFrame, key: str, columns: Sequence[str], cluster: str) -> DataFrame:
     """Euclidean silhouette of each point: ``key, cluster, silhouette`` (0 in clusters of one point).
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandcube.functions.aggregates import exact_avg
-from strandcube.functions.values import ratio
+from strandcube.functions.values import present, ratio
 
 
 def segment_profiles(base: DataFrame, group: list[str]) -> DataFrame:
-    """Per segment: mean and 95th percentile of congestion, rush-hour, weekend and wet contrasts, incidents per 1000 rows.
+    """Per segment: mean and 95th percentile of congestion, rush-hour, weekend and wet contrasts, incidents per 1000 rows, mean speed ratio.
 
-    ``base`` has congestion_index, is_congested, incident_count, is_peak_hour, is_weekend, is_adverse.
+    ``base`` has congestion_index, speed_ratio, is_congested, incident_count, is_peak_hour, is_weekend, is_adverse.
     """
     c = F.col("congestion_index")
     part = lambda flag, v: exact_avg(F.when(F.col(flag) == v, c))
@@ -20,9 +20,11 @@ def segment_profiles(base: DataFrame, group: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), exact_avg(c).alias("mean_congestion"), F.percentile(c, F.lit(0.95)).alias("p95_congestion"), exact_avg(F.col("is_congested")).alias("congested_share"),
         F.coalesce(F.sum("incident_count"), F.lit(0)).alias("incident_total"), part("is_peak_hour", 1).alias("_pk"), part("is_peak_hour", 0).alias("_op"),
         part("is_weekend", 1).alias("_we"), part("is_weekend", 0).alias("_wd"), part("is_adverse", 1).alias("_wet"), part("is_adverse", 0).alias("_dry"),
+        exact_avg(present(F.col("speed_ratio"))).alias("_sr"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return out.select(
         *group, "n_rows", "mean_congestion", F.round("p95_congestion", 8).alias("p95_congestion"), "congested_share", "incident_total", zero(ratio(F.col("_pk"), F.col("_op"))).alias("peak_ratio"), zero(ratio(F.col("_we"), F.col("_wd"))).alias("weekend_ratio"),
         zero(F.col("_wet") - F.col("_dry")).alias("wet_penalty"), ratio(F.col("incident_total").cast("double") * 1000, F.col("n_rows")).alias("incidents_per_1k"),
+        zero(F.col("_sr")).alias("avg_speed_ratio"),
     )

@@ -10,7 +10,7 @@ from strandcube.functions.calendar import DURATION_BANDS, LANE_BANDS, RESPONSE_B
 from strandcube.functions.values import present
 from strandcube.operators.clean import seasonal_z
 from strandcube.operators.mining.classify import fit_classifiers, to_label
-from strandcube.operators.mining.clusters import cluster_indices, dbscan, kmeans_best, neighbour_pairs, pca_plane, silhouettes, standardise
+from strandcube.operators.mining.clusters import cluster_indices, dbscan, kmeans_starts, nearest_centre, neighbour_pairs, pca_plane, silhouettes, standardise
 from strandcube.operators.mining.evaluate import balanced_weights, class_report, confusion_matrix, rank_fraction, regression_metrics, stratified_holdout, summary
 from strandcube.operators.mining.isolation import IsolationForest
 from strandcube.operators.mining.profiles import segment_profiles as profiles
@@ -18,19 +18,26 @@ from strandcube.operators.mining.rules import frequent_itemsets, rules, tagged,
 from strandcube.operators.mining.series import fit_models, predict, supervised, tail_split
 from strandcube.queries.common import T_SQL, davg, incident_cube, traffic_cube
 from strandcube.queries.prepare import _bands
+from strandcube.session import cut
 from strandcube.sources import generator
 from strandcube.sources.tables import table
 from strandcube.streaming.windows import hourly_counts, read_stream, run_available
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, HORIZON = 0.05, 0.55, 1.1, 168
-FEATURES = ("mean_congestion", "p95_congestion", "congested_share", "peak_ratio", "weekend_ratio", "wet_penalty", "incidents_per_1k")
+FEATURES = ("mean_congestion", "p95_congestion", "congested_share", "peak_ratio", "weekend_ratio", "wet_penalty", "incidents_per_1k", "avg_speed_ratio")
+#: The k that are tried, the starts of each and those of the refit.
+K_RANGE, STARTS, REFIT_STARTS = range(2, 9), 25, 50
 
 
-def segment_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = traffic_cube(spark, sf_dir).star(["segment_id", "zone", "is_peak_hour", "is_weekend", "is_adverse"])
     return profiles(rows, ["segment_id", "zone"])
 
 
+def segment_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiles(spark, sf_dir).drop("avg_speed_ratio")
+
+
 def rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rank_fraction(segment_profiles(spark, sf_dir).select("segment_id", "incident_total"), "incident_total", "pct")
     return out.select("segment_id", F.round("pct", 8).alias("pct"))
@@ -135,22 +142,27 @@ def dbscan_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of standardised profiles for the k in 2..5 of best mean silhouette, with quality indices."""
-    z = standardise(segment_profiles(spark, sf_dir).dropna(), FEATURES)
+    """Clusters of standardised profiles for the k in 2..8 of best mean silhouette (25 starts each), refitted with 50 starts, with quality indices."""
+    z = cut(standardise(cut(_profiles(spark, sf_dir).dropna()), FEATURES))
     cols = [f"z_{c}" for c in FEATURES]
+    n = z.count()
     best = None
-    for k in range(2, 6):
-        fitted, _, inertia = kmeans_best(z, cols, k, (1, 2))
-        score = silhouettes(fitted, "segment_id", cols, "cluster").agg(F.avg("silhouette")).first()[0]
+    for k, (_, centres) in sorted(kmeans_starts(z, cols, {k: STARTS for k in K_RANGE if k < n}).items()):
+        score = silhouettes(nearest_centre(z, cols, centres), "segment_id", cols, "cluster").agg(F.avg("silhouette")).first()[0]
         if best is None or (score or -1) > best[0]:
-            best = (score or -1, k, fitted, inertia)
-    score, k, fitted, inertia = best
+            best = (score or -1, k)
+    if best is None:
+        raise ValueError(f"{n} profiles are too few for a choice of k")
+    k = best[1]
+    inertia, centres = kmeans_starts(z, cols, {k: REFIT_STARTS})[k]
+    fitted = cut(nearest_centre(z, cols, centres))
+    score = silhouettes(fitted, "segment_id", cols, "cluster").agg(F.avg("silhouette")).first()[0]
     q = cluster_indices(fitted, cols, "cluster")
     return fitted.select("segment_id", "cluster", F.lit(k).alias("k"), F.lit(float(score)).alias("mean_silhouette"), F.lit(inertia).alias("inertia"), F.lit(q["davies_bouldin"]).alias("davies_bouldin"), F.lit(q["calinski_harabasz"]).alias("calinski_harabasz"))
 
 
 def pca_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pca_plane(segment_profiles(spark, sf_dir).dropna(), "segment_id", FEATURES)
+    return pca_plane(_profiles(spark, sf_dir).dropna(), "segment_id", FEATURES)
 
 
 NUMERIC = ("lanes_blocked", "vehicles_involved", "casualties", "duration_min", "response_time_min", "congestion_index", "hour", "is_weekend", "is_peak_hour")
