@@ -182,7 +182,7 @@ def severity_models(spark: SparkSession, sf_dir: str, trees: int = 50) -> DataFr
     return out
 
 
-def forecast_models(spark: SparkSession, sf_dir: str, forest: tuple[int, int] = (50, 10), boosting: tuple[int, int] = (60, 3)) -> DataFrame:
+def forecast_models(spark: SparkSession, sf_dir: str, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3)) -> DataFrame:
     """One-step forecasts of the last 168 hours: actual, persistence and three models."""
     rows = tail_split(_lags(spark, sf_dir), "timestamp", HORIZON).withColumns({"hour": F.hour("timestamp"), "dow": F.weekday("timestamp")}).persist()
     use = [*_LAG_COLUMNS, "hour", "dow"]

@@ -1,6 +1,9 @@
 """The registered mining queries do their whole job."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
+import pytest
 
 from strandcube.operators.mining.clusters import kmeans_starts, nearest_centre
 from strandcube.queries import mining
@@ -24,3 +27,20 @@ def test_more_starts_never_cost_more(spark):
     one, many = (kmeans_starts(df, ["x", "y", "z"], {5: n})[5] for n in (1, 25))
     assert many[0] <= one[0] and len(many[1]) == 5
     assert nearest_centre(df, ["x", "y", "z"], many[1]).select("cluster").distinct().count() == 5
+
+
+class Seen(Exception):
+    pass
+
+
+def test_forecasts_are_fitted_at_full_size(spark, monkeypatch):
+    def fit(rows, features, y, forest=(250, 16), boosting=(400, 3), **_):
+        raise Seen(forest, boosting)
+
+    series = [(datetime(2024, 1, 1) + timedelta(hours=i), *[float(i)] * 11) for i in range(200)]
+    lags = spark.createDataFrame(series, "timestamp timestamp, y double, " + ", ".join(f"{c} double" for c in mining._LAG_COLUMNS))
+    monkeypatch.setattr(mining, "_lags", lambda *_: lags)
+    monkeypatch.setattr(mining, "fit_models", fit)
+    with pytest.raises(Seen) as e:
+        mining.forecast_models(spark, "")
+    assert e.value.args == ((250, 16), (400, 3))
