@@ -16,7 +16,7 @@ from strandcube.operators.mining.isolation import IsolationForest
 from strandcube.operators.mining.profiles import segment_profiles as profiles
 from strandcube.operators.mining.rules import frequent_itemsets, rules, tagged, top_rules
 from strandcube.operators.mining.series import fit_models, predict, supervised, tail_split
-from strandcube.queries.common import T_SQL, davg, incident_cube, traffic_cube
+from strandcube.queries.common import T_SQL, davg, incident_cube, traffic, traffic_cube
 from strandcube.queries.prepare import _bands
 from strandcube.session import cut
 from strandcube.sources import generator
@@ -165,15 +165,32 @@ def pca_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca_plane(_profiles(spark, sf_dir).dropna(), "segment_id", FEATURES)
 
 
-NUMERIC = ("lanes_blocked", "vehicles_involved", "casualties", "duration_min", "response_time_min", "congestion_index", "hour", "is_weekend", "is_peak_hour")
-CATEGORICAL = ("incident_type", "weather", "road_type", "zone")
+NUMERIC = (
+    "vehicles_involved", "lanes_blocked", "blocked_lane_ratio", "lanes", "length_km", "speed_limit_kmph", "congestion_index", "avg_speed_kmph", "speed_ratio",
+    "occupancy_pct", "flow_per_lane", "hour", "day_of_week", "is_weekend", "is_peak_hour",
+)
+CATEGORICAL = ("incident_type", "weather", "road_type", "zone", "time_of_day")
 
 
-def severity_models(spark: SparkSession, sf_dir: str, trees: int = 50) -> DataFrame:
+def _severity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents with the features of segment, calendar and their hour's traffic; those without a congestion of their hour are dropped."""
+    at, state = ["segment_key", "time_key"], ["congestion_index", "avg_speed_kmph", "speed_ratio", "occupancy_pct", "flow_per_lane"]
+    rows = incident_cube(spark, sf_dir).star([*CATEGORICAL, "hour", "timestamp", "is_weekend", "is_peak_hour"]).where("severity BETWEEN 1 AND 4").drop("congestion_index")
+    t = traffic(spark, sf_dir).where("congestion_index IS NOT NULL").select(*at, "traffic_key", *state)
+    t = t.join(rows.select(*at).distinct(), at, "left_semi")
+    # of an hour with several readings the most congested one, as in incident_features
+    context = t.groupBy(*at).agg(F.max_by(F.struct(*state), F.struct("congestion_index", "traffic_key")).alias("_c")).select(*at, "_c.*")
+    segment = table(spark, sf_dir, "dim_segment").select("segment_key", "lanes", "length_km", "speed_limit_kmph")
+    rows = rows.join(context, at).join(segment, "segment_key")
+    lanes = F.when(F.col("lanes").isNotNull(), F.greatest("lanes", F.lit(1)))
+    rows = rows.withColumns({"day_of_week": F.weekday("timestamp"), "blocked_lane_ratio": F.round(F.col("lanes_blocked") / lanes, 3)})
+    return rows.select("incident_key", "severity", *[F.col(c).cast("double").alias(c) for c in NUMERIC], *[F.coalesce(c, F.lit("?")).alias(c) for c in CATEGORICAL])
+
+
+def severity_models(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
     """Hold-out accuracy and macro averages of four classifiers of severity."""
-    rows = incident_cube(spark, sf_dir).star([*CATEGORICAL, "hour", "is_weekend", "is_peak_hour"]).where("severity BETWEEN 1 AND 4")
-    rows = rows.select("incident_key", "severity", *[F.col(c).cast("double").alias(c) for c in NUMERIC], *[F.coalesce(c, F.lit("?")).alias(c) for c in CATEGORICAL])
-    rows = balanced_weights(to_label(stratified_holdout(rows, "severity", "incident_key"), "severity"), "severity").persist()
+    rows = stratified_holdout(_severity_rows(spark, sf_dir), "severity", "incident_key")
+    rows = balanced_weights(to_label(rows, "severity"), "severity").persist()
     models = fit_classifiers(rows.where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees)
     out = None
     for name, m in models.items():

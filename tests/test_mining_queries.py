@@ -44,3 +44,18 @@ def test_forecasts_are_fitted_at_full_size(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         mining.forecast_models(spark, "")
     assert e.value.args == ((250, 16), (400, 3))
+
+
+def test_severity_uses_all_features_and_trees(spark, monkeypatch):
+    def fit(rows, numeric, categorical, label, trees=300, **_):
+        raise Seen(rows, numeric, categorical, trees)
+
+    monkeypatch.setattr(mining, "fit_classifiers", fit)
+    with pytest.raises(Seen) as e:
+        mining.severity_models(spark, "/root/testdata/sf0.001")
+    rows, numeric, categorical, trees = e.value.args
+    assert (len(numeric), len(categorical), trees) == (15, 5, 300) and not {"duration_min", "response_time_min", "casualties"} & {*numeric}
+    assert {*numeric, *categorical} <= {*rows.columns}
+    whole = mining._severity_rows(spark, "/root/testdata/sf0.001").toPandas()
+    assert len(whole) and whole.incident_key.is_unique and whole.congestion_index.notna().all() and whole.time_of_day.nunique() > 1
+    assert (whole.blocked_lane_ratio.dropna() - (whole.lanes_blocked / whole.lanes.clip(lower=1)).dropna()).abs().max() < 1e-3
