@@ -10,9 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that trees are grown on (documented bound): by hash, the same at every size of table.
-SAMPLE_ROWS = 20_000
-
 
 def _depth(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
@@ -43,37 +40,55 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
     return nodes
 
 
+def _heap(nodes: list, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as a full binary one: feature and cut of the inner places, path length of the last level's; leaves lead left to it."""
+    f, cut, length = np.zeros(2**limit - 1, int), np.full(2**limit - 1, np.inf), np.zeros(2**limit)
+
+    def place(i: int, at: int, level: int) -> None:
+        feature, c, left, right, n = nodes[i]
+        if feature < 0:
+            length[((at + 1) << (limit - level)) - 2**limit] = n
+            return
+        f[at], cut[at] = feature, c
+        place(left, 2 * at + 1, level + 1)
+        place(right, 2 * at + 2, level + 1)
+
+    place(0, 0, 0)
+    return f, cut, length
+
+
 class IsolationForest:
     def __init__(self, trees: int = 200, subsample: int = 256, seed: int = 42) -> None:
         self.trees, self.subsample, self.seed = trees, subsample, seed
 
     def fit(self, df: DataFrame, columns: Sequence[str], key: str) -> IsolationForest:
-        """Grow the trees on a hash sample of at most ``SAMPLE_ROWS`` complete rows."""
+        """Grow each tree on its own ``subsample`` of all complete rows, dealt in the order of a hash.
+
+        Tables of fewer rows than all trees take together give each tree a draw from all rows.
+        """
+        want = self.trees * self.subsample
         rows = df.select(*columns, F.xxhash64(F.col(key), F.lit(self.seed)).alias("_h")).dropna()
         total = rows.count()
-        share = min(1.0, 1.2 * SAMPLE_ROWS / max(total, 1))
-        pool = rows.where(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("_h").limit(SAMPLE_ROWS)
+        share = min(1.0, (1.2 * want + 100) / max(total, 1))
+        pool = rows.where(F.pmod("_h", F.lit(1_000_000_000)) < int(share * 1_000_000_000) + 1).orderBy(F.pmod("_h", F.lit(1_000_000_000)), "_h").limit(want)
         x = pool.select(*columns).toPandas().to_numpy(float)
         self.columns = list(columns)
         rng = np.random.default_rng(self.seed)
         n = min(self.subsample, len(x))
-        limit = max(1, math.ceil(math.log2(max(n, 2))))
-        self.forest = [np.array(_grow(x[rng.choice(len(x), n, replace=False)], rng, limit)) for _ in range(self.trees)] if n else []
+        self.limit = max(1, math.ceil(math.log2(max(n, 2))))
+        dealt = rng.permutation(len(x)).reshape(self.trees, -1) if len(x) == want and n else [rng.choice(len(x), n, replace=False) for _ in range(self.trees if n else 0)]
+        self.forest = [_heap(_grow(x[i], rng, self.limit), self.limit) for i in dealt]
         self.norm = max(_depth(n), 1e-9)
         return self
 
     def _score(self, x: np.ndarray) -> np.ndarray:
-        depth = np.zeros(len(x))
-        for nodes in self.forest:
-            at = np.zeros(len(x), int)
-            while True:
-                f = nodes[at, 0].astype(int)
-                live = np.flatnonzero(f >= 0)
-                if not len(live):
-                    break
-                go = x[live, f[live]] < nodes[at[live], 1]
-                at[live] = np.where(go, nodes[at[live], 2], nodes[at[live], 3]).astype(int)
-            depth += nodes[at, 4]
+        n = len(x)
+        depth, flat, row = np.zeros(n), x.T.ravel(), np.arange(n)
+        for f, cut, length in self.forest:
+            at, start = np.zeros(n, int), f * n
+            for _ in range(self.limit):
+                at = 2 * at + 1 + (flat[start[at] + row] >= cut[at])
+            depth += length[at - len(cut)]
         return -(2.0 ** (-depth / max(len(self.forest), 1) / self.norm))
 
     def transform(self, df: DataFrame, out: str = "iso_score") -> DataFrame:

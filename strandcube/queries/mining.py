@@ -214,7 +214,8 @@ def isolation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = traffic_cube(spark, sf_dir).star(["zone", "day_name", "hour"])
     rows = rows.withColumns({c: present(F.col(c)) for c in cols}).dropna(subset=cols)
     rows = seasonal_z(rows, "congestion_index", ["segment_key", "day_name", "hour"])
-    scored = IsolationForest(trees=60).fit(rows, cols, "traffic_key").transform(rows)
+    scored = IsolationForest(trees=200).fit(rows, cols, "traffic_key").transform(rows)
+    scored = cut(scored.select("zone", "iso_score", "is_seasonal_anomaly", "incident_count"))
     limit = scored.agg(F.percentile_approx("iso_score", 0.01, 10_000)).first()[0]
     flags = scored.withColumn("is_iso", (F.col("iso_score") <= F.lit(limit)).cast("int")).withColumn("agreement", F.col("is_iso").bitwiseAND(F.col("is_seasonal_anomaly")))
     return flags.groupBy("zone").agg(

@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from strandcube.operators.mining import isolation
 from strandcube.operators.mining.clusters import kmeans_starts, nearest_centre
 from strandcube.queries import mining
 
@@ -59,3 +61,37 @@ def test_severity_uses_all_features_and_trees(spark, monkeypatch):
     whole = mining._severity_rows(spark, "/root/testdata/sf0.001").toPandas()
     assert len(whole) and whole.incident_key.is_unique and whole.congestion_index.notna().all() and whole.time_of_day.nunique() > 1
     assert (whole.blocked_lane_ratio.dropna() - (whole.lanes_blocked / whole.lanes.clip(lower=1)).dropna()).abs().max() < 1e-3
+
+
+def test_isolation_trees_draw_from_all_rows(spark, monkeypatch):
+    drawn = []
+    grow = isolation._grow
+    monkeypatch.setattr(isolation, "_grow", lambda x, rng, limit: drawn.append(x[:, 0]) or grow(x[:, :1], rng, 1))
+    df = spark.range(25_000).select("id", F.col("id").cast("double").alias("x"))
+    for trees, least in ((4, 1024), (200, 20_001)):  # apart while the rows last, then from the whole table
+        drawn.clear()
+        isolation.IsolationForest(trees).fit(df, ["x"], "id")
+        assert len(drawn) == trees and all(len(set(d)) == 256 for d in drawn) and len(set(np.concatenate(drawn))) >= least
+
+
+def test_isolation_scores_follow_the_trees():
+    x = np.random.default_rng(5).normal(size=(400, 3))
+    forest, limit = isolation.IsolationForest(1), 6
+    nodes = isolation._grow(x[:64], np.random.default_rng(6), limit)
+    forest.forest, forest.limit, forest.norm = [isolation._heap(nodes, limit)], limit, 1.0
+
+    def walk(p, i=0):
+        f, at, left, right, length = nodes[i]
+        return length if f < 0 else walk(p, left if p[f] < at else right)
+
+    assert np.allclose(forest._score(x), [-(2.0 ** -walk(p)) for p in x])
+
+
+def test_isolation_query_grows_200_trees(spark, monkeypatch):
+    def forest(trees=200, **_):
+        raise Seen(trees)
+
+    monkeypatch.setattr(mining, "IsolationForest", forest)
+    with pytest.raises(Seen) as e:
+        mining.isolation_flags(spark, "/root/testdata/sf0.001")
+    assert e.value.args == (200,)
