@@ -20,6 +20,7 @@ from strandcube.queries.common import T_SQL, davg, incident_cube, traffic, traff
 from strandcube.queries.prepare import _bands
 from strandcube.session import cut
 from strandcube.sources import generator
+from strandcube.sources.io import Config
 from strandcube.sources.tables import table
 from strandcube.streaming.windows import hourly_counts, read_stream, run_available
 
@@ -231,9 +232,10 @@ def stream_hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per road type of a generated and spoiled feed of 12 segments and 20 days, with its congested share."""
-    segs = generator.segments(spark, 12)
-    feed = generator.spoil(generator.readings(spark, segs, 20))
+    """Rows per road type of a generated and spoiled feed of the configured size (60 segments and 365 days), with its congested share."""
+    cfg = Config()
+    segs = generator.segments(spark, cfg.n_segments)
+    feed = generator.spoil(generator.readings(spark, segs, cfg.n_days))
     rows = feed.join(F.broadcast(segs.select("segment_id", "road_type")), "segment_id")
     return rows.groupBy("road_type").agg(F.count(F.lit(1)).alias("n"), exact_avg(is_congested(F.col("congestion_index"))).alias("congested_share"))
 

@@ -95,3 +95,8 @@ def test_isolation_query_grows_200_trees(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         mining.isolation_flags(spark, "/root/testdata/sf0.001")
     assert e.value.args == (200,)
+
+
+def test_generated_feed_has_the_configured_size(spark):
+    n = mining.generated_feed(spark, "").agg(F.sum("n")).first()[0]
+    assert 60 * 365 * 24 <= n <= 1.02 * 60 * 365 * 24
