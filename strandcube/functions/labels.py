@@ -7,10 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandcube.session import cut, small
+
 # Folded texts that stand for "no value".
 PLACEHOLDERS = ("na", "nan", "null", "none", "nil", "unknown", "notreported", "notavailable", "missing", "tbc", "tbd", "other", "undefined")
 
+#: A vocabulary is a short list that becomes part of the plan; a longer one is refused.
 MAX_LABELS = 1000
+#: Distinct spellings of a column up to this number (about 60 bytes each) are broadcast.
+BROADCAST_SPELLINGS = 200_000
 
 
 def fold(c: Column) -> Column:
@@ -72,6 +77,14 @@ def vocabulary(dim: DataFrame, column: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
+def fold_column(df: DataFrame, column: str, labels: Sequence[str], out: str) -> DataFrame:
+    """``df`` with ``out``, the :func:`canonical_label` of ``column``, worked out once per distinct spelling and joined back."""
+    spelt = df.select(F.col(column).alias("_spelt")).where("_spelt IS NOT NULL").distinct()
+    known = cut(spelt.withColumn("_folded", canonical_label(F.col("_spelt"), labels)))
+    rows = df.join(small(known, BROADCAST_SPELLINGS), F.col(column) == F.col("_spelt"), "left")
+    return rows.withColumn(out, F.col("_folded")).drop("_spelt", "_folded")
+
+
 def entity_number(c: Column) -> Column:
     """The number in an entity id ('SEG0007', 'seg 7', '7' -> 7); NULL where there is none."""
     return F.regexp_extract(c, r"(\d+)", 1).try_cast("bigint")

@@ -14,7 +14,7 @@ next to the rows; they are broadcast only if counted to be under a bound.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,12 +60,17 @@ def slot_of(ts: Column) -> Column:
 
 @dataclass
 class Effects:
-    """Fitted tables: ``cells`` (_g, _k, m_<f>, s_<f>, sg_<f>), ``times`` (_t, b_<f>) and the grand mean and spread per field."""
+    """Fitted tables: ``cells`` (_g, _k, m_<f>, s_<f>, sg_<f>), ``times`` (_t, b_<f>) and the grand mean and spread per field.
+
+    ``group_tally`` (_g) and ``time_tally`` (_t) hold the sums of the tallied columns over all rows.
+    """
 
     fields: Sequence[Field]
     cells: DataFrame
     times: DataFrame
     grand: dict[str, tuple[float, float]]
+    group_tally: DataFrame
+    time_tally: DataFrame
 
     def attach(self, df: DataFrame) -> DataFrame:
         """``df`` (with _g, _t, _k) plus m_<f> (expected value on the model's scale), s_<f> (its usual deviation)."""
@@ -86,7 +91,6 @@ def observations(df: DataFrame, group: Column, ts: Column, fields: Sequence[Fiel
 
 def _cells(sums: DataFrame, fields: Sequence[Field], pool: float) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """Shrunken cell means and pooled spreads from n, sum and sum of squares per cell."""
-    sums = cut(sums)
     g, k = Window.partitionBy("_g"), Window.partitionBy("_k")
     step = sums
     for f in fields:
@@ -127,46 +131,58 @@ def _cells(sums: DataFrame, fields: Sequence[Field], pool: float) -> tuple[DataF
     return cut(made.where(F.col("_g").isNotNull() & F.col("_k").isNotNull())), grand
 
 
-def _sums(obs: DataFrame, values: dict[str, Column]) -> DataFrame:
-    aggs = []
+def _sums(obs: DataFrame, values: Mapping[str, Column], tally: Mapping[str, Column]) -> DataFrame:
+    aggs = [F.sum(c).alias(name) for name, c in tally.items()]
     for name, v in values.items():
         aggs += [F.count(v).cast("double").alias(f"n_{name}"), F.coalesce(F.sum(v), F.lit(0.0)).alias(f"t_{name}"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"q_{name}")]
-    return obs.groupBy("_g", "_k").agg(*aggs)
+    return cut(obs.groupBy("_g", "_k").agg(*aggs))
 
 
-def fit_effects(obs: DataFrame, fields: Sequence[Field], rounds: int = 2, pool: float = 20.0, time_prior: float = 4.0) -> Effects:
+def _usable(name: str) -> Column:
+    return F.when(F.col("_ok"), F.col(f"y_{name}"))
+
+
+def fit_effects(obs: DataFrame, fields: Sequence[Field], rounds: int = 2, pool: float = 20.0, time_prior: float = 4.0, tally: Mapping[str, Column] | None = None) -> Effects:
     """Fit :class:`Effects` to :func:`observations`.
 
     Each round takes cell means of the values, without those that lie more than
     3 deviations from the previous fit, then the mean clipped
-    deviation per hour. Only rows with ``_ok`` are fitted. ``pool`` is the weight
-    of the group's spread in a cell's spread, ``time_prior`` the number of
-    readings as which "no effect" counts in an hour.
+    deviation per hour. Only values of rows with ``_ok`` are fitted. ``pool`` is
+    the weight of the group's spread in a cell's spread, ``time_prior`` the number
+    of readings as which "no effect" counts in an hour. Columns in ``tally`` (none
+    named like another column of the fit) are summed over all rows in the passes of
+    the first round, so they cost no pass of their own.
     """
-    grand: dict[str, tuple[float, float]] = {}
+    extra = dict(tally or {})
     effects: Effects | None = None
-    for i in range(rounds):
-        base = obs.where("_ok")
+    for _ in range(rounds):
         if effects is None:
-            values = {f.name: F.col(f"y_{f.name}") for f in fields}
+            values = {f.name: _usable(f.name) for f in fields}
+            base = obs
         else:
-            base = base.join(small(effects.cells, BROADCAST_CELLS), ["_g", "_k"], "left").join(small(effects.times, BROADCAST_TIMES), "_t", "left")
+            base = obs.join(small(effects.cells, BROADCAST_CELLS), ["_g", "_k"], "left").join(small(effects.times, BROADCAST_TIMES), "_t", "left")
             values = {}
             for f in fields:
-                y, m, sg = F.col(f"y_{f.name}"), F.col(f"m_{f.name}"), F.col(f"sg_{f.name}")
-                rest = y - F.coalesce(f"b_{f.name}", F.lit(0.0))
+                m, sg = F.col(f"m_{f.name}"), F.col(f"sg_{f.name}")
+                rest = _usable(f.name) - F.coalesce(f"b_{f.name}", F.lit(0.0))
                 values[f.name] = F.when(F.abs(rest - m) < 3 * sg, rest)
-        cells, grand = _cells(_sums(base, values), fields, pool)
-        near = obs.where("_ok").join(small(cells, BROADCAST_CELLS), ["_g", "_k"])
+        sums = _sums(base, values, extra if effects is None else {})
+        cells, grand = _cells(sums.drop(*extra), fields, pool)
+        near = obs.join(small(cells, BROADCAST_CELLS), ["_g", "_k"], "left")
         if effects is not None:
             near = near.join(small(effects.times, BROADCAST_TIMES), "_t", "left")
-        aggs = []
+        aggs = [F.sum(c).alias(name) for name, c in extra.items()] if effects is None else []
         for f in fields:
             # clipped around the last round's effect, so that a strong effect is not clipped away
             centre = F.lit(0.0) if effects is None else F.coalesce(f"b_{f.name}", F.lit(0.0))
             sg = F.col(f"sg_{f.name}")
-            r = clip((F.col(f"y_{f.name}") - F.col(f"m_{f.name}") - centre) / sg, -2.5, 2.5) * sg + centre
+            r = clip((_usable(f.name) - F.col(f"m_{f.name}") - centre) / sg, -2.5, 2.5) * sg + centre
             aggs.append((F.coalesce(F.sum(r), F.lit(0.0)) / (F.count(r) + time_prior)).alias(f"b_{f.name}"))
         times = cut(near.where(F.col("_t").isNotNull()).groupBy("_t").agg(*aggs))
-        effects = Effects(fields, cells, times, grand)
+        if effects is None:
+            by_group = sums.where(F.col("_g").isNotNull()).groupBy("_g").agg(*[F.sum(c).alias(c) for c in extra], F.lit(1).alias("_one")).drop("_one")
+            tallies = (by_group, times.select("_t", *extra))
+        plain = times.drop(*extra)
+        plain._counted = times._counted
+        effects = Effects(fields, cells, plain, grand, *tallies)
     return effects

@@ -15,9 +15,9 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandcube.functions.labels import canonical_label
+from strandcube.functions.labels import fold_column
 from strandcube.functions.values import present
-from strandcube.operators.effects import BROADCAST_CELLS, BROADCAST_TIMES, Field, fit_effects, hour_of, observations
+from strandcube.operators.effects import BROADCAST_CELLS, BROADCAST_TIMES, Effects, Field, fit_effects, hour_of, observations
 from strandcube.session import cut, small
 
 
@@ -31,20 +31,25 @@ class Category:
     group_weight: float = 200.0
 
 
-def _counts(obs: DataFrame, key: str, label: Column, labels: Sequence[str], prefix: str) -> DataFrame:
-    one = [F.sum((label == x).cast("double")).alias(f"{prefix}{i}") for i, x in enumerate(labels)]
-    return cut(obs.where(F.col(key).isNotNull() & label.isNotNull()).groupBy(key).agg(*one))
+def label_tally(label: Column, labels: Sequence[str]) -> dict[str, Column]:
+    """One count per label, for :func:`~strandcube.operators.effects.fit_effects` to take along."""
+    return {f"_c{i}": (label == x).cast("double") for i, x in enumerate(labels)}
 
 
-def predict_category(df: DataFrame, cat: Category) -> DataFrame:
-    """Adds ``_fill`` to ``df`` (with _g, _t, _label): the label of the highest posterior; ties go to the label first in the vocabulary."""
+def predict_category(df: DataFrame, cat: Category, effects: Effects) -> DataFrame:
+    """Adds ``_fill`` to ``df`` (with _g, _t, _label): the label of the highest posterior; ties go to the label first in the vocabulary.
+
+    ``effects`` holds the counts of :func:`label_tally` per group and per time.
+    """
     label, n = F.col("_label"), len(cat.labels)
-    by_t, by_g = _counts(df, "_t", label, cat.labels, "_ct"), _counts(df, "_g", label, cat.labels, "_cg")
-    row = by_t.agg(*[F.sum(f"_ct{i}") for i in range(n)]).first()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    by_t = effects.time_tally.select("_t", *[zero(f"_c{i}").alias(f"_ct{i}") for i in range(n)])
+    by_g = cut(effects.group_tally.select("_g", *[zero(f"_c{i}").alias(f"_cg{i}") for i in range(n)]))
+    row = by_g.agg(*[F.sum(f"_cg{i}") for i in range(n)]).first()
     seen = [float(x or 0) + 0.5 for x in row]
     share = [x / sum(seen) for x in seen]
+    by_t._counted = effects.times._counted
     out = df.join(small(by_t, BROADCAST_TIMES), "_t", "left").join(small(by_g, BROADCAST_CELLS), "_g", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     n_t, n_g = sum((zero(f"_ct{i}") for i in range(n)), F.lit(0.0)), sum((zero(f"_cg{i}") for i in range(n)), F.lit(0.0))
     scores = []
     for i, p in enumerate(share):
@@ -67,10 +72,14 @@ def fill_missing(df: DataFrame, group: str, ts: str, fields: Sequence[Field], ca
     zero. Columns named like a mask are replaced; other columns, repeated rows
     included, pass through. Empty input gives no rows.
     """
-    names = [f.name for f in fields]
     raw = {c: f"_raw{i}" for i, c in enumerate(df.columns)}
-    obs = observations(df, F.col(group), F.col(ts), fields, usable, [F.col(c).alias(x) for c, x in raw.items()])
-    effects = fit_effects(obs, fields)
+    keep = [F.col(c).alias(x) for c, x in raw.items()]
+    obs = observations(df, F.col(group), F.col(ts), fields, usable, keep)
+    tally = {}
+    if category is not None:
+        obs = fold_column(obs, raw[category.name], category.labels, "_label")
+        tally = label_tally(F.col("_label"), category.labels)
+    effects = fit_effects(obs, fields, tally=tally)
     out = effects.attach(obs)
     made: dict[str, Column] = {}
     for f in fields:
@@ -78,8 +87,7 @@ def fill_missing(df: DataFrame, group: str, ts: str, fields: Sequence[Field], ca
         made[f.name] = F.coalesce(value, f.unscaled(F.col(f"m_{f.name}")))
         made[f"{f.name}_filled"] = value.isNull().cast("int")
     if category is not None:
-        out = predict_category(out.withColumn("_label", canonical_label(F.col(raw[category.name]), category.labels)), category)
-        names.append(category.name)
+        out = predict_category(out, category, effects)
         made[category.name] = F.coalesce("_label", "_fill")
         made[f"{category.name}_filled"] = F.col("_label").isNull().cast("int")
     plain = [F.col(x).alias(c) for c, x in raw.items() if c not in made]
@@ -93,4 +101,4 @@ def filled_cells(filled: DataFrame, row_id: str, names: Sequence[str]) -> DataFr
     return cells.select(row_id, F.col("_c.n").alias("field_name")).distinct()
 
 
-__all__ = ["Category", "Field", "fill_missing", "filled_cells", "hour_of", "predict_category"]
+__all__ = ["Category", "Field", "fill_missing", "filled_cells", "hour_of", "label_tally", "predict_category"]

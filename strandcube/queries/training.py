@@ -47,6 +47,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_flags(spark, sf_dir).select("reading_id", "field_name")
 
 
+def p2_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags that follow from the values alone: out of range, or member of a run of at least 6 equal readings."""
+    return p2_flags(spark, sf_dir).where(F.col("kind").isin("out_of_range", "stuck")).select("reading_id", "field_name", "kind")
+
+
 def references(spark: SparkSession, sf_dir: str) -> list[Reference]:
     traffic, incident = table(spark, sf_dir, "fact_traffic"), table(spark, sf_dir, "fact_incident")
     return [
@@ -94,7 +99,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where((F.col("is_idle") == 1) & (F.col("incidents_7d") >= 0)).select("segment_key", _day_key("day"))
 
 
-QUERIES = {"p1_filled": p1_filled, "p1_found": p1_found, "p2_flags": p2_flags, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p5_trailing": p5_trailing, "p5_found": p5_found}
+QUERIES = {"p1_filled": p1_filled, "p1_found": p1_found, "p2_flags": p2_flags, "p2_found": p2_found, "p2_certain": p2_certain, "p3_found": p3_found, "p3_report": p3_report, "p5_trailing": p5_trailing, "p5_found": p5_found}
 
 _P3 = """
 SELECT '{fact}' AS fact_table, '{key}' AS key_column, CAST(f.{id} AS BIGINT) AS fact_key, f.loaded_at AS loaded
@@ -117,7 +122,21 @@ days AS (
   SELECT segment_key, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day
   FROM (SELECT segment_key, min(day) AS a, max(day) AS b FROM sound GROUP BY ALL))"""
 
+_P2 = """
+SELECT reading_id, '{f}' AS field_name, min(kind) AS kind FROM (
+  SELECT reading_id, 'out_of_range' AS kind FROM readings WHERE NOT isnan({f}) AND NOT {f} BETWEEN {lo:g} AND {hi:g}
+  UNION ALL
+  SELECT r.reading_id, 'stuck' FROM (
+    SELECT segment_id, timestamp FROM (
+      SELECT *, count(*) OVER (PARTITION BY segment_id, run) AS n FROM (
+        SELECT *, sum(new) OVER (PARTITION BY segment_id ORDER BY timestamp) AS run FROM (
+          SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY segment_id ORDER BY timestamp) THEN 0 ELSE 1 END AS new FROM (
+            SELECT segment_id, timestamp, min({f}) AS v FROM readings
+            WHERE {f} IS NOT NULL AND NOT isnan({f}) AND segment_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY ALL)))) WHERE n >= 6) x
+  JOIN readings r USING (segment_id, timestamp) WHERE r.{f} IS NOT NULL AND NOT isnan(r.{f})) GROUP BY reading_id"""
+
 SQL = {
+    "p2_certain": " UNION ALL ".join(_P2.format(f=x.name, lo=x.lo, hi=x.hi) for x in (SPEED, OCCUPANCY, COUNT, CONGESTION)),
     "p1_found": """
 SELECT DISTINCT reading_id, field_name FROM (
   SELECT reading_id, 'avg_speed_kmph' AS field_name FROM readings WHERE avg_speed_kmph IS NULL OR isnan(avg_speed_kmph)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +22,7 @@ def build_session(app: str = "strandcube", master: str | None = None, partitions
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -30,6 +33,13 @@ def build_session(app: str = "strandcube", master: str | None = None, partitions
     return b.getOrCreate()
 
 
+def _own_folder(prefix: str) -> str:
+    """A folder of this process only, removed at its end."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in ``spark.checkpoint.dir``; make a local one only in local mode without that setting."""
     sc = spark.sparkContext
@@ -39,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandcube-ckpt-"))
+        sc.setCheckpointDir(_own_folder("strandcube-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -50,7 +60,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_strandcube_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    to = Path(tempfile.mkdtemp(prefix="strandcube-ship-")) / "strandcube.zip"
+    to = Path(_own_folder("strandcube-ship-")) / "strandcube.zip"
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -59,25 +69,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder; later reads survive the loss of executors."""
+    """Compute ``df`` once into the shared checkpoint folder; later reads survive the loss of executors.
+
+    The rows are counted on the way, for :func:`small`.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    out._counted = int(seen.get["n"] or 0)
+    return out
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``max_rows`` rows, else as it is.
 
-    The count stops at ``max_rows + 1`` rows. Give it a frame that is cheap to
-    count: a dimension, or one that :func:`cut` has materialised.
+    A frame that :func:`cut` made was counted then; for others a count runs that
+    stops at ``max_rows + 1`` rows, so give it a frame that is cheap to count.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows = getattr(df, "_counted", None)
+    return F.broadcast(df) if (df.limit(max_rows + 1).count() if rows is None else rows) <= max_rows else df
 
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def partitions_of(df: DataFrame) -> int:
+    """Partitions of ``df`` as planned; a plan with exchanges is not run for it, but taken to have :func:`parallelism`."""
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return parallelism(df.sparkSession)
+    return df.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores: for costly work on rows that came in few splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if partitions_of(df) < cores else df

@@ -7,11 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandcube.functions.hmm import forward_backward
+from strandcube.functions.hmm import forward_backward, held_forward_backward
 from strandcube.functions.labels import canonical_label, entity_number
 from strandcube.operators.effects import Field
 from strandcube.operators.impute import Category, fill_missing, filled_cells
-from strandcube.operators.plausible import SpikeModel, flag_implausible, label_rows
+from strandcube.operators.plausible import SpikeModel, fit_states, flag_implausible, label_rows
 from strandcube.operators.references import Reference, orphan_report, orphan_rows, orphans, sound_facts
 from strandcube.operators.trailing import daily_sums, fill_days, trailing_totals
 
@@ -111,12 +111,60 @@ def test_flags_faults_and_only_those(spark, block_rows):
     assert cases == want and len(got) == len(want)
 
 
+def _run(z, equal, model=SpikeModel()):
+    n = len(z)
+    return fit_states(np.array(z, float), np.array(equal, bool), np.zeros(n, bool), np.ones(n, bool), np.array([n]), model)
+
+
+def test_flags_depend_on_the_sequence():
+    """Readings of the same value are flagged or not by what stands before and after them."""
+    z = np.random.default_rng(3).normal(0, 1, 600)
+    z[100], z[101], z[300] = 15.0, 5.4, 5.4
+    faulty = 1 - _run(z, np.zeros(600))[:, 0]
+    assert faulty[101] > 0.5 > faulty[300]  # after a spike another one is likelier
+    forgetful = SpikeModel(transitions=(SpikeModel().transitions[0],) * 4, rounds=0)
+    assert (1 - _run(z, np.zeros(600), forgetful)[:, 0])[101] < 0.5
+    equal = np.zeros(600)
+    equal[401:406] = equal[501:505] = 1  # a run of 6, a run of 5
+    post = _run(np.where(equal > 0, 0.3, z), equal)
+    assert (post[400:406, 2] > 0.5).all() and post[500:505, 2].max() < 0.5 and post[399, 2] < 0.5
+    alone = fit_states(z[400:406], equal[400:406] > 0, np.zeros(6, bool), np.ones(6, bool), np.ones(6, int), SpikeModel())
+    assert alone[:, 2].max() < 0.5  # the same readings, each a sequence of its own
+
+
+def test_sources_get_their_own_parameters():
+    """The same deviation is flagged at a steady source and not at a restless one."""
+    rng = np.random.default_rng(4)
+    z = np.r_[rng.normal(0, 0.6, 3000), rng.normal(0, 1.8, 3000)]
+    z[[1500, 4500]] = 5.5
+    none = np.zeros(6000, bool)
+    post = fit_states(z, none, none, ~none, np.array([3000, 3000]), SpikeModel())
+    assert post[1500, 0] < 0.5 < post[4500, 0]
+
+
+def test_held_recursion_matches_enumeration():
+    rng = np.random.default_rng(0)
+    e, held = rng.random((6, 3)), rng.random(6)
+    move, start = rng.dirichlet(np.ones(3), (1, 3)), rng.dirichlet(np.ones(3), 1)
+    got, moved = held_forward_backward(e, held, np.array([6]), move, start, 1, 3)
+    # states 0, 1 (a run that may end), 2, then the first and second reading of a run
+    full = np.zeros((5, 5))
+    full[:3, :3] = move[0]
+    full[[0, 2], 3], full[[0, 2], 1] = move[0][[0, 2], 1], 0.0
+    full[3, 4] = full[4, 1] = 1.0
+    dense = np.c_[e[:, 0], held, e[:, 2], e[:, 1], held]
+    first = np.array([start[0, 0], 0.0, start[0, 2], start[0, 1], 0.0])
+    want = forward_backward(dense, np.array([6]), full, first)
+    assert np.allclose(got, np.c_[want[:, 0], want[:, 1] + want[:, 3] + want[:, 4], want[:, 2]], atol=1e-5)
+    assert np.isclose(moved.sum() + want[:-1, 3].sum() + want[:-1, 4].sum(), 5, atol=1e-4)
+
+
 def test_flag_edges(spark):
     rows = [("a", None, None, 999.0, None, None, 0, 1), ("b", "S", None, float("nan"), -5.0, None, 0, 1), ("c", "S", START, 50.0, 10.0, None, None, 1)]
     got = flag_implausible(spark.createDataFrame(rows, SCHEMA), "seg", "ts", "id", [SPEED, FLOW]).collect()
     assert {(r.id, r.field_name, r.kind) for r in got} == {("a", "speed", "out_of_range"), ("b", "flow", "out_of_range")}
     assert flag_implausible(spark.createDataFrame([], SCHEMA), "seg", "ts", "id", [SPEED]).count() == 0
-    assert len(label_rows(pd.DataFrame({c: [] for c in ("_id", "_g", "_block", "_us", "_core", "_ok", "v_x", "z_x")}), [("x", 0, 1)], SpikeModel())) == 0
+    assert len(label_rows(pd.DataFrame({c: [] for c in ("_id", "_seq", "_us", "_core", "_ok", "v_x", "z_x")}), [("x", 0, 1)], SpikeModel())) == 0
 
 
 FACTS = "id bigint, k bigint, loaded_at timestamp, _k string, _versions int"
