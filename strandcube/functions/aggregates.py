@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from strandcube.functions.values import ratio
 
 
+#: Decimal places kept of each value; nine are more than a measurement has.
+PLACES = 9
+
+
+def exact(c: Column, digits: int = 28) -> Column:
+    """The value as a decimal of ``PLACES`` places."""
+    return c.cast(f"decimal({digits},{PLACES})")
+
+
 def exact_sum(c: Column) -> Column:
-    """Sum of fourth decimals as a double: added up as decimals, so any split of the rows gives the same bits."""
-    return F.sum(c.cast("decimal(18,4)")).cast("double")
+    """Sum as a double, added up as decimals: any split of the rows gives the same bits."""
+    return F.sum(exact(c)).cast("double")
 
 
 def exact_avg(c: Column) -> Column:

@@ -79,7 +79,7 @@ def _emissions(z: np.ndarray, equal: np.ndarray, outside: np.ndarray, calm: np.n
     e[:, 0] = _student(z / spread, m.freedom) / spread * luck
     # What goes with an announced disturbance is no spike, however far off.
     e[:, 1] = np.where(calm, m.spike_density * luck, 1e-9 * e[:, 0])
-    wide = _student(z / m.stuck_spread, 2.0) / m.stuck_spread
+    wide = np.maximum(_student(z / m.stuck_spread, 2.0) / m.stuck_spread, m.spike_density)  # a dead detector may read anything
     e[:, _STUCK] = wide * luck
     e[:, 3] = 1e-12
     e[outside] = (1e-12, 1e-12, m.spike_density, 1.0)

@@ -45,11 +45,11 @@ def incident_cube(spark: SparkSession, sf_dir: str) -> Cube:
 
 
 def davg(c: str) -> str:
-    return f"CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / nullif(count({c}), 0)"
+    return f"CAST(sum(CAST({c} AS DECIMAL(28,9))) AS DOUBLE) / nullif(count({c}), 0)"
 
 
 def dsum(c: str) -> str:
-    return f"CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE)"
+    return f"CAST(sum(CAST({c} AS DECIMAL(28,9))) AS DOUBLE)"
 
 
 T_SQL = "t AS (SELECT * REPLACE (CASE WHEN NOT isnan(congestion_index) THEN congestion_index END AS congestion_index) FROM fact_traffic)"

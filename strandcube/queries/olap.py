@@ -147,7 +147,7 @@ _HOURS = ", ".join(f"round(avg(CASE WHEN hour = {h} THEN a END), 6) AS h{h:02d}"
 _W = ", ".join(f"count(*) FILTER (weather = '{w}') AS {w.lower().replace(' ', '_')}" for w in WEATHERS)
 _FACTS = f"""{T_SQL},
 tr AS (SELECT zone, month, count(*) AS observations, {_AVG}, max(congestion_index) AS peak_congestion, {_SPEED}, {davg('speed_ratio')} AS avg_speed_ratio,
-  {davg('travel_time_min')} AS avg_travel_time, {davg('delay_index')} AS avg_delay_index, CAST(sum(CAST(vehicle_km AS DECIMAL(18,4))) AS DOUBLE) AS vehicle_km_total,
+  {davg('travel_time_min')} AS avg_travel_time, {davg('delay_index')} AS avg_delay_index, CAST(sum(CAST(vehicle_km AS DECIMAL(28,9))) AS DOUBLE) AS vehicle_km_total,
   count(*) FILTER (is_congested = 1) AS congested_hours FROM t {SEG} {TIME} {WEATHER} GROUP BY ALL),
 inc AS (SELECT zone, month, count(*) AS incidents, count(*) FILTER (is_major = 1) AS major_incidents, {davg('severity')} AS avg_severity, {davg('response_time_min')} AS avg_response_time,
   {davg('duration_min')} AS avg_incident_duration, CAST(sum(casualties) AS BIGINT) AS casualties_total FROM fact_incident {SEG} {TIME} {WEATHER} GROUP BY ALL)"""
@@ -163,7 +163,7 @@ SQL = {
     "cube_incidents": f"SELECT CASE WHEN grouping(incident_type) = 1 THEN 'ALL' ELSE incident_type END AS incident_type, CASE WHEN grouping(zone) = 1 THEN 'ALL' ELSE zone END AS zone, {INCIDENT_AGGS} FROM fact_incident {SEG} {TYPE} GROUP BY CUBE (y.incident_type, s.zone)",
     "top_congested_segments": f"{_T} segment_id, count(*) AS n_obs, {_AVG}, {_SPEED} FROM t {SEG} GROUP BY ALL ORDER BY avg_congestion DESC NULLS LAST, segment_id LIMIT 10",
     "incident_impact": f"{_T} CASE WHEN incident_count > 0 THEN 'with incident' ELSE 'without incident' END AS bucket, {TRAFFIC_AGGS} FROM t GROUP BY ALL",
-    "cuboid_zone_month": f"{_T} zone, year, month, count(*) AS n_obs, {_AVG}, CAST(sum(CAST(vehicle_km AS DECIMAL(18,4))) AS DOUBLE) AS vehicle_km_total FROM t {SEG} {TIME} GROUP BY ALL",
+    "cuboid_zone_month": f"{_T} zone, year, month, count(*) AS n_obs, {_AVG}, CAST(sum(CAST(vehicle_km AS DECIMAL(28,9))) AS DOUBLE) AS vehicle_km_total FROM t {SEG} {TIME} GROUP BY ALL",
     "cuboid_roadtype_hour": f"{_T} road_type, hour, is_weekend, count(*) AS n_obs, {_AVG}, {_SPEED} FROM t {SEG} {TIME} GROUP BY ALL",
     "cuboid_segment_day": f"{_T} segment_id, CAST(date AS VARCHAR) AS date, count(*) AS n_obs, {_AVG}, CAST(sum(incident_count) AS BIGINT) AS incident_total FROM t {SEG} {TIME} GROUP BY ALL",
     "measures_by_zone": f"""WITH {_FACTS} SELECT zone, month, tr.* EXCLUDE (zone, month), CAST(congested_hours AS DOUBLE) / nullif(observations, 0) AS congested_hours_pct, inc.* EXCLUDE (zone, month),

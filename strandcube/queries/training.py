@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandcube.functions.aggregates import exact
 from strandcube.functions.labels import vocabulary
 from strandcube.functions.values import present, ratio
 from strandcube.operators.impute import Category, fill_missing, filled_cells
@@ -74,10 +75,9 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = sound_facts(table(spark, sf_dir, "fact_traffic"), references(spark, sf_dir)[:2])
     sound = sound.select("segment_key", "time_key", "loaded_at", "traffic_key", "incident_count", present(F.col("congestion_index")).alias("congestion_index"))
     hours = latest_load(sound, ["segment_key", "time_key"], ["loaded_at", "traffic_key"], ["incident_count", "congestion_index"])
-    hours = hours.withColumn("day", F.expr("try_to_date(cast(time_key div 100 as string), 'yyyyMMdd')"))
-    # Sums of fourth decimals in whole numbers: the same total in whatever order the parts are added.
-    hours = hours.withColumn("units", F.round(F.col("congestion_index") * 10_000).cast("bigint"))
-    return daily_sums(hours, "segment_key", "day", {"incidents": "incident_count", "units": "units"}, ["congestion_index"])
+    hours = hours.select("segment_key", F.expr("try_to_date(cast(time_key div 100 as string), 'yyyyMMdd')").alias("day"), "incident_count", exact(F.col("congestion_index"), 18).alias("congestion"))
+    daily = daily_sums(hours, "segment_key", "day", {"incidents": "incident_count", "congestion_total": "congestion"}, ["congestion"], "n_rows")
+    return daily.withColumn("congestion_total", exact(F.col("congestion_total"), 24))
 
 
 def _day_key(c: str) -> F.Column:
@@ -86,17 +86,18 @@ def _day_key(c: str) -> F.Column:
 
 def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of incidents and totals and averages of congestion over the last 7 and 30 days, idle days included."""
-    t = trailing_totals(_daily(spark, sf_dir), "segment_key", "day", ["incidents", "units", "n_congestion_index"], (7, 30))
+    t = trailing_totals(_daily(spark, sf_dir), "segment_key", "day", ["incidents", "congestion_total", "n_congestion"], (7, 30))
     out = [F.col("segment_key"), _day_key("day"), F.col("is_idle")]
     for w in (7, 30):
-        total = F.col(f"units_{w}d") / 10_000
-        out += [F.col(f"incidents_{w}d").cast("bigint").alias(f"incidents_{w}d"), total.alias(f"congestion_total_{w}d"), ratio(total, F.col(f"n_congestion_index_{w}d")).alias(f"congestion_mean_{w}d")]
+        total = F.col(f"congestion_total_{w}d").cast("double")
+        out += [F.col(f"incidents_{w}d").cast("bigint").alias(f"incidents_{w}d"), total.alias(f"congestion_total_{w}d"), ratio(total, F.col(f"n_congestion_{w}d")).alias(f"congestion_mean_{w}d")]
     return t.select(*out)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trailing_totals(_daily(spark, sf_dir), "segment_key", "day", ["incidents"], (7,))
-    return t.where((F.col("is_idle") == 1) & (F.col("incidents_7d") >= 0)).select("segment_key", _day_key("day"))
+    """The days on which the total of rows over the last one day is 0."""
+    t = trailing_totals(_daily(spark, sf_dir), "segment_key", "day", ["n_rows"], (1,))
+    return t.where(F.col("n_rows_1d") == 0).select("segment_key", _day_key("day"))
 
 
 QUERIES = {"p1_filled": p1_filled, "p1_found": p1_found, "p2_flags": p2_flags, "p2_found": p2_found, "p2_certain": p2_certain, "p3_found": p3_found, "p3_report": p3_report, "p5_trailing": p5_trailing, "p5_found": p5_found}
@@ -164,15 +165,15 @@ WITH {_SOUND},
 hours AS (SELECT * FROM sound QUALIFY row_number() OVER (PARTITION BY segment_key, time_key ORDER BY loaded_at DESC, traffic_key DESC) = 1),
 daily AS (
   SELECT segment_key, day, coalesce(sum(incident_count), 0) AS incidents, count(congestion_index) AS n,
-         coalesce(sum(CAST(round(congestion_index * 10000) AS BIGINT)), 0) AS units FROM hours GROUP BY ALL),
+         coalesce(sum(CAST(congestion_index AS DECIMAL(18,9))), 0) AS units FROM hours GROUP BY ALL),
 full_days AS (
   SELECT days.segment_key, days.day, CAST(daily.day IS NULL AS INT) AS is_idle,
          coalesce(incidents, 0) AS i, coalesce(n, 0) AS n, coalesce(units, 0) AS u FROM days LEFT JOIN daily USING (segment_key, day))
 SELECT segment_key, CAST(strftime(day, '%Y%m%d') AS BIGINT) AS day_key, is_idle,
-  CAST(sum(i) OVER w7 AS BIGINT) AS incidents_7d, CAST(sum(u) OVER w7 AS BIGINT) / 10000 AS congestion_total_7d,
-  CAST(sum(u) OVER w7 AS BIGINT) / 10000 / nullif(CAST(sum(n) OVER w7 AS BIGINT), 0) AS congestion_mean_7d,
-  CAST(sum(i) OVER w30 AS BIGINT) AS incidents_30d, CAST(sum(u) OVER w30 AS BIGINT) / 10000 AS congestion_total_30d,
-  CAST(sum(u) OVER w30 AS BIGINT) / 10000 / nullif(CAST(sum(n) OVER w30 AS BIGINT), 0) AS congestion_mean_30d
+  CAST(sum(i) OVER w7 AS BIGINT) AS incidents_7d, CAST(sum(u) OVER w7 AS DOUBLE) AS congestion_total_7d,
+  CAST(sum(u) OVER w7 AS DOUBLE) / nullif(CAST(sum(n) OVER w7 AS BIGINT), 0) AS congestion_mean_7d,
+  CAST(sum(i) OVER w30 AS BIGINT) AS incidents_30d, CAST(sum(u) OVER w30 AS DOUBLE) AS congestion_total_30d,
+  CAST(sum(u) OVER w30 AS DOUBLE) / nullif(CAST(sum(n) OVER w30 AS BIGINT), 0) AS congestion_mean_30d
 FROM full_days
 WINDOW w7 AS (PARTITION BY segment_key ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
        w30 AS (PARTITION BY segment_key ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",

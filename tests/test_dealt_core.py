@@ -183,7 +183,7 @@ def test_orphans_against_brute_force(spark):
     facts.append(facts[5])
     want = sorted(f[0] for f in facts if f[1] is not None and not any(d[0] == f[1] and d[1] is not None and f[2] is not None and d[1] <= f[2] and (d[2] is None or d[2] > f[2]) for d in dim))
     refs = _refs(spark, facts, dim)
-    assert sorted(r.fact_key for r in orphans(refs[0]).collect()) == want
+    assert sorted(r.fact_key for r in orphans(refs).collect()) == want
     sound = sound_facts(refs[0].fact, refs)
     assert sorted(r.id for r in sound.collect()) == sorted(f[0] for f in facts if f[1] is not None and f[0] not in set(want)) and sound.columns == refs[0].fact.columns
     report = orphan_report(refs).toPandas()
