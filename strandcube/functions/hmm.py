@@ -9,11 +9,12 @@ MAX_CELLS = 2_000_000
 HELD_CELLS = 6_000_000
 
 
-def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, moved: np.ndarray | None = None) -> np.ndarray:
     """State probabilities of many sequences (none empty) laid end to end in ``emissions`` (rows x states).
 
     Sequences of similar length run side by side, one step at a time; what is
-    held at once stays under about ``MAX_CELLS`` numbers per array.
+    held at once stays under about ``MAX_CELLS`` numbers per array. The expected
+    transitions of all sequences are added to ``moved`` (states x states), if given.
     """
     out = np.empty_like(emissions)
     starts = np.cumsum(lengths) - lengths
@@ -23,12 +24,12 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
         n = max(1, MAX_CELLS // (int(lengths[order[i]]) * emissions.shape[1]))
         some = order[i : i + n]
         rows = np.repeat(starts[some] - np.cumsum(lengths[some]) + lengths[some], lengths[some]) + np.arange(lengths[some].sum())
-        out[rows] = _side_by_side(emissions[rows], lengths[some], transitions, start)
+        out[rows] = _side_by_side(emissions[rows], lengths[some], transitions, start, moved)
         i += n
     return out
 
 
-def _side_by_side(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _side_by_side(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, moved: np.ndarray | None) -> np.ndarray:
     """Forward-backward over sequences sorted by falling length."""
     seq = np.repeat(np.arange(len(lengths)), lengths)
     pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -49,8 +50,12 @@ def _side_by_side(emissions: np.ndarray, lengths: np.ndarray, transitions: np.nd
     back = transitions.T
     for t in range(steps - 1, -1, -1):
         n = active[t]
+        into = grid[t, :n] * b[:n]
         alpha[t, :n] *= b[:n]
-        c = (grid[t, :n] * b[:n]) @ back
+        c = into @ back
+        if moved is not None and t:
+            before = alpha[t - 1, :n]
+            moved += (before / (before * c).sum(1, keepdims=True)).T @ into * transitions
         b[:n] = c / c.max(1, keepdims=True)
     out = alpha[pos, seq]
     return out / out.sum(1, keepdims=True)

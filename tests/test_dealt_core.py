@@ -78,16 +78,21 @@ def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(0)
     a, start = np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([0.6, 0.4])
     e = rng.random((5, 2))
-    got = forward_backward(e, np.array([3, 2]), a, start)
+    moved, pairs = np.zeros((2, 2)), np.zeros((2, 2))
+    got = forward_backward(e, np.array([3, 2]), a, start, moved)
     for lo, n in ((0, 3), (3, 2)):
-        p = np.zeros((n, 2))
+        p, seen = np.zeros((n, 2)), np.zeros((2, 2))
         for path in np.ndindex(*[2] * n):
             w = start[path[0]] * e[lo, path[0]]
             for i in range(1, n):
                 w *= a[path[i - 1], path[i]] * e[lo + i, path[i]]
             for i in range(n):
                 p[i, path[i]] += w
+            for i in range(1, n):
+                seen[path[i - 1], path[i]] += w
+        pairs += seen / p[0].sum()
         assert np.allclose(got[lo : lo + n], p / p.sum(1, keepdims=True))
+    assert np.allclose(moved, pairs)
 
 
 @pytest.mark.parametrize("block_rows", [4096, 60])
