@@ -140,12 +140,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words and the share of them in prose, link lists, tag lists and menus."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return page_shares(docs, "doc_id", "text")
+    return page_shares(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", lang="lang")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffed_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return stuffed_pages(docs, "doc_id", "text", lang="lang").select("doc_id").distinct()
 
 
 QUERIES = {
