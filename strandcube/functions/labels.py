@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,12 +77,29 @@ def vocabulary(dim: DataFrame, column: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
+def fold_columns(df: DataFrame, vocabularies: Mapping[str, Sequence[str]], suffix: str = "_label") -> DataFrame:
+    """``df`` with ``<column><suffix>``, the :func:`canonical_label` of each column in ``vocabularies``.
+
+    Labels are worked out once per distinct spelling, in one pass over all the
+    columns, and joined back.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("_at"), F.col(c).alias("_spelt")) for i, c in enumerate(vocabularies)])
+    spelt = df.select(F.inline(cells)).where("_spelt IS NOT NULL").distinct()
+    label = F.lit(None).cast("string")
+    for i, labels in enumerate(vocabularies.values()):
+        label = F.when(F.col("_at") == i, canonical_label(F.col("_spelt"), labels)).otherwise(label)
+    known = cut(spelt.withColumn("_folded", label))
+    out = df
+    for i, c in enumerate(vocabularies):
+        one = known.where(F.col("_at") == i).select(F.col("_spelt").alias(f"_spelt{i}"), F.col("_folded").alias(f"{c}{suffix}"))
+        one._counted = known._counted
+        out = out.drop(f"{c}{suffix}").join(small(one, BROADCAST_SPELLINGS), F.col(c) == F.col(f"_spelt{i}"), "left").drop(f"_spelt{i}")
+    return out
+
+
 def fold_column(df: DataFrame, column: str, labels: Sequence[str], out: str) -> DataFrame:
-    """``df`` with ``out``, the :func:`canonical_label` of ``column``, worked out once per distinct spelling and joined back."""
-    spelt = df.select(F.col(column).alias("_spelt")).where("_spelt IS NOT NULL").distinct()
-    known = cut(spelt.withColumn("_folded", canonical_label(F.col("_spelt"), labels)))
-    rows = df.join(small(known, BROADCAST_SPELLINGS), F.col(column) == F.col("_spelt"), "left")
-    return rows.withColumn(out, F.col("_folded")).drop("_spelt", "_folded")
+    """``df`` with ``out``, the label of one column (see :func:`fold_columns`)."""
+    return fold_columns(df, {column: labels}, "__folded").drop(out).withColumnRenamed(f"{column}__folded", out)
 
 
 def entity_number(c: Column) -> Column:
