@@ -11,17 +11,18 @@ gave it to.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandcube.functions.labels import fold, plain
 from strandcube.session import cut
 
-MAX_PATTERNS = 10_000
+#: Combinations of sources that the driver routes (about 100 bytes a source each), and target sources; more are refused.
+MAX_PATTERNS = 100_000
 MAX_SOURCES = 1000
 
 
@@ -32,96 +33,115 @@ class Target:
     max_repeats: int
 
 
-class MinCostFlow:
-    """Successive shortest paths with potentials; integer capacities, non-negative costs."""
-
-    def __init__(self, nodes: int) -> None:
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.head: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def edge(self, a: int, b: int, capacity: int, cost: int) -> int:
-        for x, y, room, c in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.head))
-            self.head.append(y)
-            self.room.append(room)
-            self.cost.append(c)
-        return len(self.head) - 2
-
-    def run(self, source: int, sink: int) -> int:
-        """Send as much as possible at least cost; ``room[edge ^ 1]`` is then the flow of an edge."""
-        n, far = len(self.out), float("inf")
-        potential = [0] * n
-        sent = 0
+class Supply:
+    """Flow from supplies to the sources that may use them, by augmenting paths over sources.
+
+    A path gives unused supply to one source, which hands as much of what it has to
+    the next one, and so on to a source that lacks some. A step moves what all
+    supplies together can give, so there are few paths however many supplies there
+    are. Amounts are whole numbers, exact up to 2**53.
+    """
+
+    def __init__(self, amounts: np.ndarray, member: np.ndarray, demand: np.ndarray) -> None:
+        self.member = member
+        self.amounts, self.left = amounts.astype(float), np.zeros(len(amounts))
+        self.flow = np.zeros(member.T.shape)  # source by supply
+        self.lacks = demand.astype(float)
+
+    def open(self, rows: np.ndarray) -> None:
+        """Make the supplies ``rows`` usable and send as much as can be sent."""
+        self.left[rows] = self.amounts[rows]
+        while (path := self._path()) is not None:
+            self._send(path)
+
+    def _path(self) -> list[int] | None:
+        """Sources from one with unused supply to one that lacks some, by breadth first."""
+        queue = self._users(self.left)
+        came = dict.fromkeys(queue, -1)
+        for s in queue:
+            if self.lacks[s] > 0:
+                path = [s]
+                while (s := came[s]) >= 0:
+                    path.append(s)
+                return path[::-1]
+            for t in self._users(self.flow[s]):
+                if t not in came:
+                    came[t] = s
+                    queue.append(t)
+        return None
+
+    def _users(self, stock: np.ndarray) -> list[int]:
+        """The sources that may use some of what is in stock."""
+        return np.flatnonzero(self.member[np.flatnonzero(stock)].any(0)).tolist()
+
+    def _send(self, path: list[int]) -> None:
+        stock = [self.left, *[self.flow[s] for s in path[:-1]]]
+        size = min([float((x * self.member[:, t]).sum()) for x, t in zip(stock, path, strict=True)] + [float(self.lacks[path[-1]])])
+        taken = []
+        for x, t in zip(stock, path, strict=True):  # first all is taken, so that a step never passes on what it just got
+            can = x * self.member[:, t]
+            before = np.cumsum(can) - can
+            taken.append(np.clip(size - before, 0, can))
+        for x, part in zip(stock, taken, strict=True):
+            x -= part
+        for t, part in zip(path, taken, strict=True):
+            self.flow[t] += part
+        self.lacks[path[-1]] -= size
+
+    def tight(self) -> np.ndarray:
+        """The sources that lack some, and all that could hand on to them: together they use all they may."""
+        out = self.lacks > 0
         while True:
-            dist: list[float] = [far] * n
-            via = [-1] * n
-            dist[source] = 0
-            heap = [(0, source)]
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > dist[x]:
-                    continue
-                for e in self.out[x]:
-                    y = self.head[e]
-                    if self.room[e] > 0 and (new := d + self.cost[e] + potential[x] - potential[y]) < dist[y]:
-                        dist[y], via[y] = new, e
-                        heapq.heappush(heap, (new, y))
-            if dist[sink] == far:
-                return sent
-            potential = [p + int(d) if d < far else p for p, d in zip(potential, dist, strict=True)]
-            amount, x = None, sink
-            while x != source:
-                e = via[x]
-                amount = self.room[e] if amount is None else min(amount, self.room[e])
-                x = self.head[e ^ 1]
-            x = sink
-            while x != source:
-                e = via[x]
-                self.room[e] -= amount
-                self.room[e ^ 1] += amount
-                x = self.head[e ^ 1]
-            sent += amount
+            hands = (self.flow[:, (self.member & out).any(1)] > 0).any(1)
+            if not (hands & ~out).any():
+                return out
+            out |= hands
 
 
 def route(patterns: dict[tuple[str, ...], int], targets: Sequence[Target], total: int | None = None) -> tuple[dict[tuple[tuple[str, ...], int, str], int], dict[str, int]]:
     """Tokens of (pattern, use, source), and the quota of each source.
 
-    Sources without any record get quota 0 and the other shares are scaled up.
-    Without ``total`` the largest total is taken at which every quota can be met.
+    The r-th use of a pattern costs r * r a token, whatever source it goes to. As
+    the costs lie on the supplies alone, opening the uses in the order of their
+    cost, each time sending all that can be sent, is a flow of least cost. Sources
+    without any record get quota 0 and the other shares are scaled up. Without
+    ``total`` the largest total is taken at which every quota can be met: the
+    sources that fall short of a larger one name the next smaller total to try.
     """
     present = [t for t in targets if t.share > 0 and any(t.source in p and n for p, n in patterns.items())]
-    scale = sum(t.share for t in present)
+    quota = {t.source: 0 for t in targets}
     if not present:
-        return {}, {t.source: 0 for t in targets}
-    by_name = {t.source: t for t in targets}
-
-    def solve(size: int) -> tuple[int, int, dict, dict[str, int]]:
-        quota = {t.source: int(size * t.share / scale) for t in present}
-        keys = [(p, r) for p, n in patterns.items() if n for r in range(1, max((by_name[s].max_repeats for s in p if s in quota), default=0) + 1)]
-        flow = MinCostFlow(2 + len(keys) + len(quota))
-        at = {s: 2 + len(keys) + i for i, s in enumerate(quota)}
-        edges = {}
-        for i, (p, r) in enumerate(keys):
-            flow.edge(0, 2 + i, patterns[p], r * r)
-            for s in p:
-                if s in quota and r <= by_name[s].max_repeats:
-                    edges[p, r, s] = flow.edge(2 + i, at[s], patterns[p], 0)
-        for s, q in quota.items():
-            flow.edge(at[s], 1, q, 0)
-        sent = flow.run(0, 1)
-        return sent, sum(quota.values()), {k: flow.room[e ^ 1] for k, e in edges.items() if flow.room[e ^ 1]}, quota
-
+        return {}, quota
+    scale = sum(t.share for t in present)
+    place = {t.source: i for i, t in enumerate(present)}
+    repeats = np.array([t.max_repeats for t in present])
+    share = np.array([t.share for t in present]) / scale
+    rows: list[tuple[tuple[str, ...], int]] = []
+    member, amounts = [], []
+    for p, n in patterns.items():
+        own = np.zeros(len(present), bool)
+        own[[place[s] for s in p if s in place]] = True
+        for r in range(1, int((repeats * own).max()) + 1 if n else 1):
+            rows.append((p, r))
+            member.append(own & (repeats >= r))
+            amounts.append(n)
+    m, w = np.array(member).reshape(-1, len(present)), np.array(amounts)
+    use = np.array([r for _, r in rows])
     if total is None:
-        lo, hi = 0, sum(n * max(by_name[s].max_repeats for s in p) for p, n in patterns.items() if n and p)
-        while lo < hi:  # met quotas are monotone in the total
-            mid = (lo + hi + 1) // 2
-            sent, wanted, _, _ = solve(mid)
-            lo, hi = (mid, hi) if sent == wanted else (lo, mid - 1)
-        total = lo
-    _, _, flows, quota = solve(total)
-    return flows, {t.source: quota.get(t.source, 0) for t in targets}
+        total = int(w.sum())
+        while True:
+            flow = Supply(w, m, np.floor(total * share))
+            flow.open(np.arange(len(rows)))
+            if not (flow.lacks > 0).any():
+                break
+            short = flow.tight()
+            total = min(total - 1, int(w[(m & short).any(1)].sum() / share[short].sum()))
+    flow = Supply(w, m, np.floor(total * share))
+    for r in range(1, int(use.max()) + 1):
+        flow.open(np.flatnonzero(use == r))
+    quota |= {t.source: int(total * x) for t, x in zip(present, share, strict=True)}
+    flows = {(*rows[i], present[j].source): int(flow.flow[j, i]) for j, i in zip(*np.nonzero(flow.flow), strict=True)}
+    return flows, quota
 
 
 def membership(records: DataFrame, record: str, source: str, content: str, size: str, targets: Sequence[Target]) -> DataFrame:

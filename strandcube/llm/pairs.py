@@ -20,8 +20,13 @@ from strandcube.session import cut, small
 
 #: Item counts up to this number of rows (about 40 bytes each) are broadcast for scoring.
 BROADCAST_ITEMS = 500_000
-#: Bits of records by heavy items that are expanded at once.
-MAX_CELLS = 20_000_000
+#: Cells of records by heavy items, or rare by heavy items, and pairs of rare items that are held at once.
+MAX_CELLS = 4_000_000
+MAX_PAIRS = 2_000_000
+#: Items of a record beyond which it is cut into blocks of about so many.
+LARGE = 256
+#: Ids of such records up to this number are broadcast.
+BROADCAST_RECORDS = 500_000
 
 
 def heavy_pairs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,43 +45,57 @@ def heavy_pairs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return cat(a), cat(b), cat(n).astype(np.int64)
 
 
-def mixed_pairs(member: np.ndarray, row: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rare item, heavy column, records with both): each rare item's records probe the heavy bits."""
+def mixed_pairs(member: np.ndarray, row: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (rare item, heavy column, records with both): each rare item's records probe the heavy bits."""
     if not len(item) or not member.shape[1]:
-        return (np.empty(0, np.int64),) * 3
+        return
     order = np.argsort(item, kind="stable")
     row, item = row[order], item[order]
     starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
-    total = np.zeros((len(starts), member.shape[1]), np.int64)
+    ends = np.r_[starts[1:], len(item)]
     step = max(1, MAX_CELLS // member.shape[1])
-    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(item)]))
-    for k in range(0, len(item), step):
-        part = group[k : k + step]
-        own, first = np.unique(part, return_index=True)
-        total[own] += np.add.reduceat(member[row[k : k + step]].astype(np.int32), first, axis=0)
-    i, j = np.nonzero(total)
-    return item[starts][i], j, total[i, j]
-
-
-def light_pairs(row: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a < b) of rare items within a record, hash-counted."""
+    i = 0
+    while i < len(starts):  # as many items as fill a block of rows; one item of more rows is added up by itself
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
+        total = np.zeros((j - i, member.shape[1]), np.int64)
+        for k in range(int(starts[i]), int(ends[j - 1]), step):
+            z = min(k + step, int(ends[j - 1]))
+            own = np.searchsorted(starts, np.arange(k, z), side="right") - 1 - i
+            at, first = np.unique(own, return_index=True)
+            total[at] += np.add.reduceat(member[row[k:z]].astype(np.int32), first, axis=0)
+        a, b = np.nonzero(total)
+        yield item[starts[i:j]][a], b, total[a, b]
+        i = j
+
+
+def light_pairs(row: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of pairs (a < b) of rare items within a record, hash-counted; a block is some records' pairs, about ``MAX_PAIRS``."""
     order = np.lexsort((item, row))
-    row, item = row[order], item[order]
+    row, item = row[order], item[order].astype(np.int64)
     size = int(item.max()) + 1 if len(item) else 1
-    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    k = 1
-    while True:
-        same = np.flatnonzero(row[k:] == row[:-k]) if k < len(row) else np.empty(0, int)
-        if not len(same):
-            break
-        got, n = np.unique(item[same].astype(np.int64) * size + item[same + k], return_counts=True)
-        codes, where = np.unique(np.r_[codes, got], return_inverse=True)
-        counts = np.bincount(where, np.r_[counts, n]).astype(np.int64)
-        k += 1
-    return codes // size, codes % size, counts
-
-
-def _count_batch(items: Sequence[Sequence[str]], heavy: dict[str, int]) -> pd.DataFrame:
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    n = np.diff(np.r_[starts, len(row)])
+    block = np.cumsum(n * (n - 1) // 2) // MAX_PAIRS
+    for k in np.unique(block):
+        some = np.flatnonzero(block == k)
+        lo, hi = int(starts[some[0]]), int(starts[some[-1]] + n[some[-1]])
+        r, x = row[lo:hi], item[lo:hi]
+        codes = []
+        for d in range(1, int(n[some].max())):
+            same = np.flatnonzero(r[d:] == r[:-d])
+            codes.append(x[same] * size + x[same + d])
+        if codes:
+            got, times = np.unique(np.concatenate(codes), return_counts=True)
+            yield got // size, got % size, times
+
+
+def _frame(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    swap = a > b
+    return pd.DataFrame({"item_a": np.where(swap, b, a), "item_b": np.where(swap, a, b), "n_ab": n.astype(np.int64)})
+
+
+def count_batch(items: Sequence[Sequence[str]], heavy: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """Pair counts of a batch of records in blocks of bounded size; a pair may come in several of them."""
     sizes = np.array([len(x) for x in items], np.int64)
     row = np.repeat(np.arange(len(items)), sizes)
     flat = np.concatenate([np.asarray(x, object) for x in items]) if sizes.sum() else np.empty(0, object)
@@ -88,22 +107,28 @@ def _count_batch(items: Sequence[Sequence[str]], heavy: dict[str, int]) -> pd.Da
     member[row[of >= 0], of[of >= 0]] = True
     by_column = np.array(list(heavy), object)
     rare = of < 0
-    a1, b1, n1 = heavy_pairs(member)
-    a2, b2, n2 = mixed_pairs(member, row[rare], code[rare])
-    a3, b3, n3 = light_pairs(row[rare], code[rare])
-    pick = lambda x, i: x[i] if len(i) else np.empty(0, object)
-    a = np.r_[pick(by_column, a1), pick(names, a2), pick(names, a3)]
-    b = np.r_[pick(by_column, b1), pick(by_column, b2), pick(names, b3)]
-    n = np.r_[n1, n2, n3]
-    swap = a > b
-    return pd.DataFrame({"item_a": np.where(swap, b, a), "item_b": np.where(swap, a, b), "n_ab": n.astype(np.int64)})
+    i, j, n = heavy_pairs(member)
+    if len(n):
+        yield _frame(by_column[i], by_column[j], n)
+    for i, j, n in mixed_pairs(member, row[rare], code[rare]):
+        yield _frame(names[i], by_column[j], n)
+    for i, j, n in light_pairs(row[rare], code[rare]):
+        yield _frame(names[i], names[j], n)
 
 
-def baskets(df: DataFrame, record: str, items: str) -> DataFrame:
-    """``_id, _items``: the distinct non-null items of each record; rows of one record are united, NULL records left out."""
-    rows = df.where(F.col(record).isNotNull()).groupBy(F.col(record).alias("_id"))
-    joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(items)))))
-    return rows.agg(F.filter(joined, lambda x: x.isNotNull()).alias("_items"))
+def count_blocks(left: Sequence[Sequence[str]], right: Sequence[Sequence[str]], same: Sequence[bool]) -> Iterator[pd.DataFrame]:
+    """Pairs between two blocks of one record's items (or within one block), one block pair at a time."""
+    for x, y, within in zip(left, right, same, strict=True):
+        x, y = np.asarray(x, object), np.asarray(y, object)
+        a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+        ok = a < b if within else slice(None)
+        yield _frame(a[ok], b[ok], np.ones(len(a[ok]), np.int64))
+
+
+def occurrences(df: DataFrame, record: str, items: str) -> DataFrame:
+    """``_id, _item``: each item of a record once, however many rows or repeats it stands in; NULL records are left out."""
+    rows = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.explode(F.array_distinct(items)).alias("_item"))
+    return rows.where(F.col("_item").isNotNull()).distinct()
 
 
 def item_pairs(df: DataFrame, record: str, items: str, heavy_share: float = 1 / 64, max_heavy: int = 1024, min_count: int = 1) -> DataFrame:
@@ -116,21 +141,35 @@ def item_pairs(df: DataFrame, record: str, items: str, heavy_share: float = 1 /
     rare, which changes the way and not the result. Items occur once in a record
     however often they are repeated. Pairs below ``min_count`` are left out;
     records without items still count in ``n_records``. Empty input gives no rows.
+    Records of more than ``LARGE`` items are counted in pairs of blocks of their
+    items, so that no task holds all of a record.
     """
-    records = cut(baskets(df, record, items))
-    total = records.count()
-    counts = cut(records.select(F.explode("_items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")))
+    rows = cut(occurrences(df, record, items))
+    total = df.agg(F.count_distinct(record)).first()[0]
+    counts = cut(rows.groupBy(F.col("_item").alias("item")).agg(F.count(F.lit(1)).alias("n")))
+    large = cut(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE))
     floor = max(heavy_share * total, 1)
     top = counts.where(F.col("n") >= floor).orderBy(F.desc("n"), "item").limit(max_heavy).collect()
     heavy = {r["item"]: i for i, r in enumerate(sorted(top, key=lambda r: r["item"]))}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = _count_batch(pdf["_items"].tolist(), heavy)
-            if len(out):
-                yield out
+            yield from count_batch(pdf["_items"].tolist(), heavy)
 
-    sums = records.where(F.size("_items") > 1).select("_items").mapInPandas(count, "item_a string, item_b string, n_ab bigint")
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from count_blocks(pdf["_items"].tolist(), pdf["_others"].tolist(), pdf["_same"].tolist())
+
+    schema = "item_a string, item_b string, n_ab bigint"
+    plain = rows if not large._counted else rows.join(small(large.select("_id"), BROADCAST_RECORDS), "_id", "left_anti")
+    gathered = plain.groupBy("_id").agg(F.collect_list("_item").alias("_items")).where(F.size("_items") > 1)
+    sums = gathered.select("_items").mapInPandas(count, schema)
+    if large._counted:
+        cut_up = rows.join(small(large, BROADCAST_RECORDS), "_id").withColumn("_b", F.pmod(F.xxhash64("_item"), F.ceil(F.col("_n") / LARGE)))
+        blocks = cut(cut_up.groupBy("_id", "_b").agg(F.collect_list("_item").alias("_items")))
+        others = blocks.select("_id", F.col("_b").alias("_c"), F.col("_items").alias("_others"))
+        met = blocks.join(others, "_id").where("_b <= _c").select("_items", "_others", (F.col("_b") == F.col("_c")).alias("_same"))
+        sums = sums.unionByName(met.repartition("_items", "_others").mapInPandas(across, schema))
     pairs = sums.groupBy("item_a", "item_b").agg(F.sum("n_ab").alias("n_ab")).where(F.col("n_ab") >= min_count)
     one = lambda x: small(counts.select(F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")), BROADCAST_ITEMS)
     scored = pairs.join(one("a"), "item_a").join(one("b"), "item_b").withColumn("n_records", F.lit(total).cast("bigint"))

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandcube.session import partitions_of
+
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 #: Rows a task holds before it turns them into summaries.
@@ -114,27 +116,48 @@ def _leaves(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFr
         yield flush()
 
 
-def _merge_frame(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
-    keys, out = [], []
-    for k, g in pdf.groupby("k", sort=False):
-        g = g.sort_values(["part", "n"])
-        parts = [tuple(np.asarray(x) for x in t) for t in zip(g["v"], g["lo"], g["hi"], strict=True)]
-        n = int(g["n"].sum())
-        out.append((compress(merge(parts, g["n"].tolist()), 2 * share * n), n))
-        keys.append(k)
-    return _rows(keys, [int(pdf["part"].iloc[0]) // FAN_IN] * len(keys), out)
-
+def _merge_sorted(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
+    """Merges summaries that come sorted by key and group; at most ``FAN_IN`` and what they were merged into are held."""
+    held: list[tuple[Summary, int]] = []
+    key = group = None
 
-def _merger(share: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda pdf: _merge_frame(pdf, share)
+    def fold() -> None:
+        n = sum(x for _, x in held)
+        held[:] = [(merge([s for s, _ in held], [x for _, x in held]), n)]
 
+    def done() -> tuple:
+        fold()
+        s, n = held[0]
+        return key, group, (compress(s, 2 * share * n), n)
 
-def _merge_rounds(rows: DataFrame, parts: int, shares: Sequence[float]) -> DataFrame:
+    for pdf in batches:
+        out = []
+        for k, g, n, v, lo, hi in zip(pdf["k"], pdf["_g"], pdf["n"], pdf["v"], pdf["lo"], pdf["hi"], strict=True):
+            if held and (k != key or g != group):
+                out.append(done())
+                held.clear()
+            key, group = k, g
+            held.append(((np.asarray(v), np.asarray(lo), np.asarray(hi)), int(n)))
+            if len(held) > FAN_IN:
+                fold()
+        if out:
+            yield _rows([o[0] for o in out], [o[1] for o in out], [o[2] for o in out])
+    if held:
+        out = [done()]
+        yield _rows([o[0] for o in out], [o[1] for o in out], [o[2] for o in out])
+
+
+def _merger(share: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    return lambda batches: _merge_sorted(batches, share)
+
+
+def _merge_rounds(rows: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Rounds of merging groups of ``FAN_IN`` parts; the last one takes what is left of each key."""
     schema = _schema(rows.schema["k"].dataType.simpleString())
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for share in shares:
-        keyed = rows.withColumns({"_b": F.pmod(F.xxhash64("k"), F.lit(buckets)), "_g": F.expr(f"part div {FAN_IN}")})
-        rows = keyed.groupBy("_b", "_g").applyInPandas(_merger(share), schema)
+    for i, share in enumerate(shares):
+        group = F.expr(f"part div {FAN_IN}") if i + 1 < len(shares) else F.lit(0).cast("bigint")
+        keyed = rows.withColumn("_g", group).repartition("k", "_g").sortWithinPartitions("k", "_g", "part", "n")
+        rows = keyed.mapInPandas(_merger(share), schema)
     return rows
 
 
@@ -147,19 +170,23 @@ def quantile_summaries(df: DataFrame, group: str, value: str, eps: float = 0.005
     can be united and merged by :func:`merge_summaries`.
     """
     rows = df.select(F.col(group).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
-    parts = max(rows.rdd.getNumPartitions(), 1)
+    parts = max(partitions_of(rows), 1)
     rounds = max(1, math.ceil(math.log(parts, FAN_IN))) if parts > 1 else 1
     step = eps / (rounds + 1)
     leaves = rows.mapInPandas(lambda b: _leaves(b, step), _schema(df.schema[group].dataType.simpleString()))
-    out = _merge_rounds(leaves, parts, [step * (i + 2) for i in range(rounds)])
+    out = _merge_rounds(leaves, [step * (i + 2) for i in range(rounds)])
     return out.select(F.col("k").alias(group), "n", "v", "lo", "hi")
 
 
-def merge_summaries(summaries: DataFrame, group: str, eps: float = 0.005, parts: int = 1024) -> DataFrame:
-    """Merge summaries of equal groups. A merge adds no error relative to n; each of its rounds compresses up to a share of ``eps``."""
-    rows = summaries.select(F.col(group).alias("k"), F.pmod(F.xxhash64("n", "v"), F.lit(parts)).alias("part"), "n", "v", "lo", "hi")
-    rounds = max(1, math.ceil(math.log(parts, FAN_IN)))
-    out = _merge_rounds(rows, parts, [eps * (i + 1) / rounds for i in range(rounds)])
+def merge_summaries(summaries: DataFrame, group: str, eps: float = 0.005) -> DataFrame:
+    """Merge summaries of equal groups. A merge adds no error relative to n; each of its rounds compresses up to a share of ``eps``.
+
+    The number of rounds follows from the most summaries that any group has.
+    """
+    most = summaries.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    rows = summaries.select(F.col(group).alias("k"), F.pmod(F.xxhash64("n", "v", "lo"), F.lit(most)).alias("part"), "n", "v", "lo", "hi")
+    rounds = max(1, math.ceil(math.log(most, FAN_IN)))
+    out = _merge_rounds(rows, [eps * (i + 1) / rounds for i in range(rounds)])
     return out.select(F.col("k").alias(group), "n", "v", "lo", "hi")
 
 

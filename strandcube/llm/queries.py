@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandcube.functions.labels import canonical_label, entity_number, vocabulary
+from strandcube.functions.labels import entity_number, fold, fold_columns, vocabulary
 from strandcube.functions.values import present
 from strandcube.llm.mixing import Target, mix, mix_shares
 from strandcube.llm.nearest import match_nearest
@@ -20,7 +20,8 @@ from strandcube.sources.tables import table
 SEVERITIES = ("Minor", "Moderate", "Serious", "Critical")
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 EPS = 0.005
-MAX_CAPACITIES = 1000
+#: Rows of a parameter table (containers, targets) that become part of the plan.
+MAX_PARAMETERS = 1000
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +44,13 @@ def p4_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles(merge_summaries(daily, "segment_key", EPS), "segment_key", PROBABILITIES)
 
 
-def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per segment: values, and how many of its percentiles truly lie within their stated rank error (and within eps)."""
-    got = p4_percentiles(spark, sf_dir)
-    asked = got.groupBy("segment_key").agg(F.first("n_values").alias("n_values"), F.collect_list(F.struct("value", "target_rank", "rank_error")).alias("a"))
+def _bounds(spark: SparkSession, sf_dir: str, got: DataFrame) -> DataFrame:
+    asked = got.groupBy("segment_key").agg(F.first("n_values").alias("n_stated"), F.collect_list(F.struct("value", "target_rank", "rank_error")).alias("a"))
     facts = table(spark, sf_dir, "fact_traffic").select("segment_key", present(F.col("congestion_index")).alias("v")).where("v IS NOT NULL AND segment_key IS NOT NULL")
-    rows = facts.join(asked, "segment_key")
+    rows = facts.join(asked, "segment_key", "left")
     below = [F.sum((F.col("v") < F.col("a")[i]["value"]).cast("bigint")).alias(f"lt{i}") for i in range(len(PROBABILITIES))]
     upto = [F.sum((F.col("v") <= F.col("a")[i]["value"]).cast("bigint")).alias(f"le{i}") for i in range(len(PROBABILITIES))]
-    counts = rows.groupBy("segment_key").agg(F.first("n_values").alias("n_values"), F.first("a").alias("a"), *below, *upto)
+    counts = rows.groupBy("segment_key").agg(F.first("n_stated").alias("n_values"), F.first("a").alias("a"), *below, *upto)
     good = F.lit(0)
     for i in range(len(PROBABILITIES)):
         a = F.col("a")[i]
@@ -60,6 +59,16 @@ def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("segment_key", "n_values", good.cast("int").alias("n_within"))
 
 
+def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per segment: values, and how many of its percentiles truly lie within their stated rank error (and within eps)."""
+    return _bounds(spark, sf_dir, p4_percentiles(spark, sf_dir))
+
+
+def p4_merged_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the percentiles from merged days, the error of the days' own summaries included."""
+    return _bounds(spark, sf_dir, p4_merged_days(spark, sf_dir))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     return {
         "incident_type": vocabulary(table(spark, sf_dir, "dim_incident_type"), "incident_type"),
@@ -71,8 +80,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _labels(spark, sf_dir)
-    items = F.array(*[F.concat(F.lit(f"{f}="), canonical_label(F.col(f), known)) for f, known in labels.items()])
-    return table(spark, sf_dir, "incidents").select("incident_id", F.array_compact(items).alias("items"))
+    rows = fold_columns(table(spark, sf_dir, "incidents").select("incident_id", *labels), labels)
+    items = F.array(*[F.concat(F.lit(f"{f}="), F.col(f"{f}_label")) for f in labels])
+    return rows.select("incident_id", F.array_compact(items).alias("items"))
 
 
 def _two_fields() -> Column:
@@ -109,8 +119,16 @@ def _sizes(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> Data
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokenizer=tokenizer)
 
 
+def _few(rows: DataFrame, what: str) -> list:
+    """The rows of a parameter table; more than ``MAX_PARAMETERS`` are refused."""
+    got = rows.limit(MAX_PARAMETERS + 1).collect()
+    if len(got) > MAX_PARAMETERS:
+        raise ValueError(f"more than {MAX_PARAMETERS} {what}")
+    return got
+
+
 def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
-    rows = table(spark, sf_dir, "pack_capacities").where("container_name IS NOT NULL AND capacity_tokens > 0").limit(MAX_CAPACITIES).collect()
+    rows = _few(table(spark, sf_dir, "pack_capacities").where("container_name IS NOT NULL AND capacity_tokens > 0"), "containers")
     return sorted((r["container_name"], int(r["capacity_tokens"])) for r in rows)
 
 
@@ -123,8 +141,24 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p8_containers(spark, sf_dir), _capacities(spark, sf_dir))
 
 
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container kind: placed texts, and breaches of the rules (overfull containers, texts split though they fit, pieces that do not join up to the whole text)."""
+    sizes = _sizes(spark, sf_dir)
+    caps = _capacities(spark, sf_dir)
+    packed = pack(sizes, "doc_id", "n_tokens", caps)
+    cap = F.element_at(F.create_map(*[F.lit(x) for n, k in caps for x in (n, k)]), F.col("container_name"))
+    full = packed.groupBy("container_name", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("container_name").agg(F.sum((F.col("n") > cap).cast("bigint")).alias("n_overfull"))
+    after = F.lead("token_start").over(Window.partitionBy("container_name", "doc_id").orderBy("token_start", "piece_no"))  # few pieces a text
+    joins = packed.withColumn("_gap", (after != F.col("token_start") + F.col("n_tokens")).cast("bigint"))
+    texts = joins.groupBy("container_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.coalesce(F.sum("_gap"), F.lit(0)).alias("gaps"))
+    texts = texts.join(sizes.select("doc_id", F.col("n_tokens").alias("size")), "doc_id")
+    wrong = ((F.col("n") != F.col("size")) | (F.col("gaps") > 0)).cast("bigint")
+    rows = texts.groupBy("container_name").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(((F.col("pieces") > 1) & (F.col("size") <= cap)).cast("bigint")).alias("n_split_needlessly"), F.sum(wrong).alias("n_incomplete"))
+    return rows.join(full, "container_name").select("container_name", "n_texts", "n_overfull", "n_split_needlessly", "n_incomplete")
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> list[Target]:
-    rows = table(spark, sf_dir, "mix_targets").where("source IS NOT NULL").limit(1001).collect()
+    rows = _few(table(spark, sf_dir, "mix_targets").where("source IS NOT NULL"), "target sources")
     return sorted((Target(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in rows), key=lambda t: t.source)
 
 
@@ -138,6 +172,23 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(p9_mix(spark, sf_dir), _targets(spark, sf_dir))
 
 
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: the share it should get, whether it is met within 0.01, and its records used too often or not its own."""
+    targets = _targets(spark, sf_dir)
+    mixed = p9_mix(spark, sf_dir)
+    shares = mix_shares(mixed, targets)
+    given = shares.withColumn("_there", F.when(F.col("n_records") > 0, F.col("target_share")))
+    wanted = F.coalesce(F.col("_there") / F.sum("_there").over(Window.partitionBy(F.lit(1))), F.lit(0.0))  # a row per target source
+    cap = F.create_map(*[F.lit(x) for t in targets for x in (t.source, t.max_repeats)]) if targets else F.lit(None)
+    own = table(spark, sf_dir, "documents").select("doc_id", fold(F.col("source")).alias("_own"))
+    used = mixed.join(own, "doc_id", "left").groupBy("source").agg(
+        F.sum((F.col("n_uses") > cap[F.col("source")]).cast("bigint")).alias("a"), F.sum((~F.col("_own").eqNullSafe(fold(F.col("source")))).cast("bigint")).alias("b"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    rows = given.withColumn("wanted_share", F.round(wanted, 6)).join(used, "source", "left")
+    met = (F.abs(F.col("actual_share") - F.col("wanted_share")) <= 0.01).cast("int")
+    return rows.select("source", "wanted_share", met.alias("is_met"), zero("a").alias("n_too_often"), zero("b").alias("n_foreign"))
+
+
 def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words and the share of them in prose, link lists, tag lists and menus."""
     return page_shares(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", lang="lang")
@@ -149,9 +200,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_percentiles": p4_percentiles, "p4_merged_days": p4_merged_days, "p4_bounds": p4_bounds,
+    "p4_percentiles": p4_percentiles, "p4_merged_days": p4_merged_days, "p4_bounds": p4_bounds, "p4_merged_bounds": p4_merged_bounds,
     "p6_pairs": p6_pairs, "p6_found": p6_found, "p7_matches": p7_matches, "p7_found": p7_found,
-    "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p8_containers": p8_containers, "p8_report": p8_report, "p8_limits": p8_limits, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_limits": p9_limits,
     "p10_pages": p10_pages, "p10_found": p10_found,
 }
 
@@ -198,10 +249,20 @@ near AS (
     AND r.t BETWEEN i.x.t - INTERVAL 20 MINUTE AND i.x.t + INTERVAL 20 MINUTE
   QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY abs(epoch_us(r.t) - epoch_us(i.x.t)), r.t, reading_id) = 1)"""
 
-SQL = {
-    "p4_bounds": """
+_VALUES = """
 SELECT segment_key, count(*) AS n_values, CAST(7 AS INT) AS n_within FROM fact_traffic
-WHERE segment_key IS NOT NULL AND congestion_index IS NOT NULL AND NOT isnan(congestion_index) GROUP BY ALL""",
+WHERE segment_key IS NOT NULL AND congestion_index IS NOT NULL AND NOT isnan(congestion_index) GROUP BY ALL"""
+
+SQL = {
+    "p4_bounds": _VALUES,
+    "p4_merged_bounds": _VALUES,
+    "p8_limits": """
+SELECT container_name, (SELECT count(*) FROM documents) AS n_texts, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_split_needlessly, CAST(0 AS BIGINT) AS n_incomplete
+FROM pack_capacities WHERE container_name IS NOT NULL AND capacity_tokens > 0""",
+    "p9_limits": """
+WITH there AS (SELECT DISTINCT lower(regexp_replace(source, '[^A-Za-z0-9]', '', 'g')) AS k FROM documents WHERE length(text) > 0),
+t AS (SELECT *, lower(regexp_replace(source, '[^A-Za-z0-9]', '', 'g')) IN (SELECT k FROM there WHERE k IS NOT NULL) AS given FROM mix_targets)
+SELECT source, round(CASE WHEN given THEN target_share / (SELECT sum(target_share) FROM t WHERE given) ELSE 0 END, 6) AS wanted_share, CAST(1 AS INT) AS is_met, CAST(0 AS BIGINT) AS n_too_often, CAST(0 AS BIGINT) AS n_foreign FROM t""",
     "p6_pairs": f"WITH {_ITEMS} SELECT * FROM pairs",
     "p6_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM pairs WHERE n_ab >= 10 AND n_ab * 200 >= n_records AND n_ab * n_records * 2 >= n_a * n_b * 3",
     "p7_matches": f"WITH {_NEAREST} SELECT incident_id, reading_id, d / 1e6 AS seconds FROM near",

@@ -1,6 +1,7 @@
 """Percentiles, pairs, nearest-time matching, packing, mixing and page labelling."""
 
 import re
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 from itertools import combinations
@@ -12,11 +13,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandcube.llm.mixing import MinCostFlow, Target, mix, mix_shares, route
+from strandcube.llm.mixing import Target, mix, mix_shares, route
 from strandcube.llm.nearest import match_nearest, merge_sorted
 from strandcube.llm.packing import Cost, assign, least_containers, pack, packing_report
 from strandcube.llm.pages import batch_features, common_words, page_shares, stuffed_pages
-from strandcube.llm.pairs import _count_batch, item_pairs
+from strandcube.llm.pairs import count_batch, item_pairs
 from strandcube.llm.percentiles import answer, compress, exact_summary, merge, merge_summaries, quantile_summaries, quantiles, uncertainty
 from strandcube.llm.tokens import token_counts
 
@@ -67,9 +68,37 @@ def test_quantiles_within_bound(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.sampled_from("abcdefgh"), max_size=6), max_size=40), st.sets(st.sampled_from("abcdefgh")))
 def test_pair_counts_by_any_split(baskets, heavy):
-    got = _count_batch([sorted(b) for b in baskets], {x: i for i, x in enumerate(sorted(heavy))})
-    want = Counter(p for b in baskets for p in combinations(sorted(b), 2))
-    assert {(r.item_a, r.item_b): r.n_ab for r in got.itertuples()} == dict(want)
+    got = Counter()
+    for part in count_batch([sorted(b) for b in baskets], {x: i for i, x in enumerate(sorted(heavy))}):
+        for r in part.itertuples():
+            got[r.item_a, r.item_b] += r.n_ab
+    assert got == Counter(p for b in baskets for p in combinations(sorted(b), 2))
+
+
+def test_pair_counts_in_bounded_memory():
+    """Records of many rare items beside many heavy ones come in blocks of bounded size."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    heavy = {f"h{i:04d}": i for i in range(1024)}
+    names = list(heavy)
+    items = [[names[j] for j in rng.choice(1024, 200, replace=False)] + [f"x{i}-{j}" for j in range(50)] for i in range(2000)]
+    tracemalloc.start()
+    n, most = 0, 0
+    for part in count_batch(items, heavy):
+        n, most = n + int(part.n_ab.sum()), max(most, len(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 * (250 * 249 // 2) and most <= 4_500_000 and peak < 1_000_000_000
+
+
+def test_pairs_of_large_records(spark):
+    """A record cut into blocks gives the pairs it would give whole."""
+    big = [f"i{k:03d}" for k in range(600)]
+    rows = [("r0", big), ("r1", big[:300]), ("r2", big[5:8]), ("r0", big[:10]), ("r3", ["i000"])]
+    got = {(r.item_a, r.item_b): r.n_ab for r in item_pairs(spark.createDataFrame(rows, "id string, items array<string>"), "id", "items", min_count=1).collect()}
+    want = Counter(p for x in ({*big}, {*big[:300]}, {*big[5:8]}) for p in combinations(sorted(x), 2))
+    assert got == dict(want)
 
 
 def test_item_pairs(spark):
@@ -184,12 +213,52 @@ def test_token_counts(spark):
 # --- mixing ----------------------------------------------------------------------------------
 
 
-def test_min_cost_flow():
-    f = MinCostFlow(4)
-    f.edge(0, 1, 4, 1), f.edge(0, 2, 2, 5)
-    cheap = f.edge(1, 3, 3, 1)
-    f.edge(1, 2, 2, 1), f.edge(2, 3, 3, 1)
-    assert f.run(0, 3) == 6 and f.room[cheap ^ 1] == 3
+def _best_cost(patterns, targets, quota):
+    """Least cost of a flow that meets the quotas, by trying every split of small patterns."""
+    limit = {t.source: t.max_repeats for t in targets}
+    units = [(p, r) for p, n in patterns.items() for r in range(1, max(limit[s] for s in p) + 1) for _ in range(n)]
+    best = {tuple(sorted(quota.items())): 0}
+    for p, r in units:
+        new = dict(best)
+        for state, cost in best.items():
+            for s in p:
+                q = dict(state)
+                if r <= limit[s] and q[s] > 0:
+                    q[s] -= 1
+                    key = tuple(sorted(q.items()))
+                    new[key] = min(new.get(key, 10**9), cost + r * r)
+        best = new
+    return best.get(tuple(sorted((s, 0) for s in quota)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sets(st.sampled_from("abc"), min_size=1).map(lambda x: tuple(sorted(x))), st.integers(1, 3), min_size=1, max_size=4), st.lists(st.integers(1, 4), min_size=3, max_size=3), st.lists(st.integers(1, 2), min_size=3, max_size=3))
+def test_routes_cost_least_and_are_largest(patterns, weights, repeats):
+    targets = [Target(s, w / sum(weights), r) for s, w, r in zip("abc", weights, repeats, strict=True)]
+    flows, quota = route(patterns, targets)
+    sent = Counter()
+    for (p, r, s), n in flows.items():
+        assert s in p and r <= dict(zip("abc", repeats, strict=True))[s]
+        sent[s] += n
+    assert all(sent[s] == q for s, q in quota.items())
+    for (p, r) in {(p, r) for p, r, _ in flows}:
+        assert sum(n for (a, b, _), n in flows.items() if (a, b) == (p, r)) <= patterns[p]
+    assert sum(r * r * n for (_, r, _), n in flows.items()) == _best_cost(patterns, targets, quota)
+    # two tokens more for every source that has any cannot be met
+    there = {t.source for t in targets if any(t.source in p for p in patterns)}
+    assert _best_cost(patterns, targets, {s: q + 2 * (s in there) for s, q in quota.items()}) is None
+
+
+def test_routes_of_many_patterns():
+    rng = np.random.default_rng(12)
+    names = [f"s{i:02d}" for i in range(13)]
+    patterns = {tuple(s for s, x in zip(names, bits, strict=True) if x): int(rng.integers(1, 10**9)) for bits in np.unique(rng.random((10_000, 13)) < 0.4, axis=0) if any(bits)}
+    targets = [Target(s, float(x), int(rng.integers(1, 5))) for s, x in zip(names, rng.dirichlet(np.ones(13)), strict=True)]
+    began = time.time()
+    flows, quota = route(patterns, targets)
+    assert time.time() - began < 20 and len(patterns) > 2000
+    for s, q in quota.items():
+        assert sum(n for (_, _, t), n in flows.items() if t == s) == q
 
 
 def test_route_meets_shares():
