@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandcube.functions.hmm import forward_backward
@@ -60,19 +60,27 @@ class CommonWords:
     burst: float = 2.4
     #: Pages of fewer words are not counted; languages of fewer pages have no list of their own.
     page_words: int = 20
-    pages: int = 100
+    pages: int = 40
     #: Words in a smaller share of a task's pages are left out there: the error of the share.
     slack: float = 0.02
 
 
+@dataclass(frozen=True)
+class FunctionWords:
+    """Hashes of the function words of ``languages``; in pages of other languages their absence means nothing."""
+
+    hashes: tuple[int, ...] = ()
+    languages: frozenset[str] = frozenset()
+
+
 @dataclass(frozen=True)
 class PageModel:
-    """Start and transition probabilities, per feature a table of level probabilities per state, and the hashes of the common words."""
+    """Start and transition probabilities, per feature a table of level probabilities per state, and the function words with the languages they are of."""
 
     start: tuple[float, ...]
     transitions: tuple[tuple[float, ...], ...]
     levels: tuple[tuple[tuple[float, ...], ...], ...]
-    common: tuple[int, ...] = ()
+    words: FunctionWords = FunctionWords()
 
 
 # The starting tables, per feature one row per state (prose, links, tags, menu).
@@ -100,8 +108,10 @@ PRIOR = PageModel(
 )
 #: A record reports something even without function words.
 RECORD_LEVEL = 0
-#: Levels per feature; a unit's levels are stored as one number to these bases.
-SHAPE = tuple(len(t[0]) for t in PRIOR.levels)
+#: Function words of a page whose language has no list.
+UNKNOWN_LEVEL = 3
+#: Levels per feature (unknown function words are one more); a unit's levels are stored as one number to these bases.
+SHAPE = tuple(len(t[0]) + (j == _FUNCTION) for j, t in enumerate(PRIOR.levels))
 
 # --- bytes -----------------------------------------------------------------------------------
 
@@ -195,7 +205,7 @@ def _units(b: np.ndarray, ts: np.ndarray, te: np.ndarray) -> tuple[np.ndarray, n
     return np.cumsum(begin) - 1, page, same_stubs & new_line
 
 
-def _chunk_features(pages: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunk_features(pages: list[str], common: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Page, levels (of the features in the order of ``PRIOR``, as one number) and words of each unit of some pages; units without words are left out."""
     raw = "\x00".join(pages).encode("utf-8", "replace")
     b = np.frombuffer(raw, np.uint8)
@@ -256,9 +266,12 @@ def _chunk_features(pages: list[str], common: np.ndarray) -> tuple[np.ndarray, n
     record &= (link == 0) & (offer < 2)
 
     spot = np.searchsorted(common, h)
-    known = common[np.minimum(spot, len(common) - 1)] == h if len(common) else we - ws <= 3
+    known = common[np.minimum(spot, len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+    own = listed[page[head]]  # per unit: its language has a list
+    known = np.where(own[wu], known, known | (we - ws <= 3))
     share = np.bincount(wu, known, n_units) / some
     function = np.where(record, RECORD_LEVEL, np.where(n < 5, 1, 2 - _level(share, 0.08, 0.17)))
+    function = np.where(own | record, function, UNKNOWN_LEVEL)
 
     plain = ~known & ~(digit[ws] & digit[we - 1])
     c = np.flatnonzero(plain)
@@ -285,10 +298,11 @@ def _level(x: np.ndarray, a: float, b: float) -> np.ndarray:
     return (x >= a).astype(np.int8) + (x >= b)
 
 
-def batch_features(texts: Sequence[str | None], common: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def batch_features(texts: Sequence[str | None], languages: Sequence[str] | None = None, words: FunctionWords = FunctionWords()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Page (place in ``texts``), levels (see :func:`_chunk_features`) and words of each unit of the texts; pages without words have no unit."""
-    known = np.array(sorted(common), np.uint64)
-    got = [(i, _chunk_features(pages, known)) for i, pages in _chunks(texts)]
+    known = np.array(sorted(words.hashes), np.uint64)
+    listed = np.array([x in words.languages for x in (languages if languages is not None else [""] * len(texts))], bool)
+    got = [(i, _chunk_features(pages, known, listed[i : i + len(pages)])) for i, pages in _chunks(texts)]
     if not got:
         return np.empty(0, np.int64), np.empty(0, np.int16), np.empty(0, np.int64)
     return np.concatenate([g[0] + i for i, g in got]), np.concatenate([g[1] for _, g in got]), np.concatenate([g[2] for _, g in got])
@@ -297,8 +311,8 @@ def batch_features(texts: Sequence[str | None], common: Sequence[int] = ()) -> t
 # --- function words --------------------------------------------------------------------------
 
 
-def common_words(df: DataFrame, text: str, lang: str | None = None, rule: CommonWords | None = None) -> tuple[int, ...]:
-    """Hashes of the function words of all languages of ``df`` together (see :class:`CommonWords`).
+def common_words(df: DataFrame, text: str, lang: str | None = None, rule: CommonWords | None = None) -> FunctionWords:
+    """The function words of all languages of ``df`` together (see :class:`CommonWords`).
 
     ``lang`` labels the pages; wrong labels and NULL (a language of its own) only
     blur the shares. Without it all pages are one language. Equal pages of a task
@@ -323,13 +337,18 @@ def common_words(df: DataFrame, text: str, lang: str | None = None, rule: Common
             n = sums["g"].map(sums[sums["h"] == 0].set_index("g")["pages"])
             yield sums[(sums["h"] == 0) | (sums["pages"] >= r.slack * n)]
 
-    group = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang else F.lit("")
-    rows = spread(df.select(F.col(text).alias("t"), group.alias("g"))).mapInPandas(count, "g string, h bigint, pages bigint, rate double, square double")
+    rows = spread(df.select(F.col(text).alias("t"), _language(lang).alias("g"))).mapInPandas(count, "g string, h bigint, pages bigint, rate double, square double")
     sums = rows.groupBy("g", "h").agg(F.sum("pages").alias("pages"), F.sum("rate").alias("rate"), F.sum("square").alias("square"))
+    sums = cut(sums)
     size = sums.where("h = 0").select("g", F.col("pages").alias("n")).where(F.col("n") >= r.pages)
     often = sums.where("h <> 0").join(size, "g").where((F.col("pages") >= r.share * F.col("n")) & (F.col("square") * F.col("pages") <= r.burst * F.col("rate") * F.col("rate")))
-    # Words are at most 1 / share times the mean number of short words on a page, per language.
-    return tuple(sorted({int(x["h"]) & (2**64 - 1) for x in often.select("h").distinct().collect()}))
+    # A language has at most 1 / share times the mean number of short words on its pages.
+    hashes = tuple(sorted({int(x["h"]) & (2**64 - 1) for x in often.select("h").distinct().collect()}))
+    return FunctionWords(hashes, frozenset(x["g"] for x in size.select("g").collect()))
+
+
+def _language(lang: str | None) -> Column:
+    return F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang else F.lit("")
 
 
 def _page_words(pages: list[str], group: np.ndarray, r: CommonWords) -> pd.DataFrame:
@@ -366,23 +385,26 @@ def _emissions(model: PageModel) -> np.ndarray:
     levels = np.unravel_index(np.arange(np.prod(SHAPE)), SHAPE)
     logs = np.zeros((len(levels[0]), len(STATES)))
     for j, table in enumerate(model.levels):
-        if j != _FUNCTION or model.common:  # without a list of function words nothing follows from their absence
-            logs += np.log(np.array(table)).T[levels[j]]
+        full = np.ones((len(STATES), SHAPE[j]))
+        full[:, : len(table[0])] = table
+        logs += np.log(full).T[levels[j]]
     return np.exp(logs - logs.max(1, keepdims=True))
 
 
-def page_frame(df: DataFrame, doc_id: str, text: str, common: Sequence[int]) -> DataFrame:
+def page_frame(df: DataFrame, doc_id: str, text: str, words: FunctionWords, lang: str | None = None) -> DataFrame:
     """``id, levels, words``: each row's features as bytes, computed once for training and scoring."""
 
+    function = words
+
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            page, levels, words = batch_features(pdf["t"].tolist(), common)
+            page, levels, n = batch_features(pdf["t"].tolist(), pdf["g"].tolist(), function)
             at = np.searchsorted(page, np.arange(len(pdf) + 1)).tolist()
-            lv, wd = levels.tobytes(), words.astype(np.int32).tobytes()
+            lv, wd = levels.tobytes(), n.astype(np.int32).tobytes()
             spans = list(zip(at, at[1:], strict=False))
             yield pd.DataFrame({"id": pdf["id"], "levels": [lv[2 * a : 2 * z] for a, z in spans], "words": [wd[4 * a : 4 * z] for a, z in spans]})
 
-    rows = spread(df.select(F.col(doc_id).alias("id"), F.col(text).alias("t")))
+    rows = spread(df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), _language(lang).alias("g")))
     return cut(rows.mapInPandas(extract, f"id {df.schema[doc_id].dataType.simpleString()}, levels binary, words binary"))
 
 
@@ -400,14 +422,14 @@ def _posterior(pdf: pd.DataFrame, model: PageModel, moved: np.ndarray | None = N
 _START, _MOVE = -1, -2
 
 
-def train_page_model(pages: DataFrame, common: Sequence[int] = (), rounds: int = 20, prior: PageModel = PRIOR, strength: float = 1.0, tolerance: float = 0.02) -> PageModel:
+def train_page_model(pages: DataFrame, words: FunctionWords = FunctionWords(), rounds: int = 20, prior: PageModel = PRIOR, strength: float = 1.0, tolerance: float = 0.02) -> PageModel:
     """Expectation maximisation over all of :func:`page_frame`, until no probability moves by ``tolerance`` (at most ``rounds`` rounds).
 
     Only expected counts (under 150 numbers a task) reach the driver. ``strength``
     is the weight of the prior tables against the counts of their state, so that
     the states keep their meaning on any corpus.
     """
-    model = replace(prior, common=tuple(common))
+    model = replace(prior, words=words)
     for _ in range(rounds):
         rows = pages.mapInPandas(_counter(model), "j int, s int, v int, x double").groupBy("j", "s", "v").agg(F.sum("x").alias("x")).collect()
         got = {(r.j, r.s, r.v): r.x for r in rows}
@@ -418,7 +440,7 @@ def train_page_model(pages: DataFrame, common: Sequence[int] = (), rounds: int =
             return tuple(mixed / mixed.sum())
 
         levels = tuple(tuple(fitted(j, s, p) for s, p in enumerate(table)) for j, table in enumerate(prior.levels))
-        new = PageModel(fitted(_START, 0, prior.start), tuple(fitted(_MOVE, s, p) for s, p in enumerate(prior.transitions)), levels, tuple(common))
+        new = PageModel(fitted(_START, 0, prior.start), tuple(fitted(_MOVE, s, p) for s, p in enumerate(prior.transitions)), levels, words)
         flat = lambda m: np.concatenate([np.ravel(m.start), np.ravel(m.transitions), *[np.ravel(t) for t in m.levels]])
         step = float(np.abs(flat(new) - flat(model)).max())
         model = new
@@ -456,9 +478,9 @@ def page_shares(df: DataFrame, doc_id: str, text: str, model: PageModel | None =
     Whole texts are read, however long; rows are scored one by one, so repeated
     rows and ids give repeated results.
     """
-    common = model.common if model else common_words(df, text, lang)
-    pages = page_frame(df, doc_id, text, common)
-    found = model or train_page_model(pages, common)
+    function = model.words if model else common_words(df, text, lang)
+    pages = page_frame(df, doc_id, text, function, lang)
+    found = model or train_page_model(pages, function)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

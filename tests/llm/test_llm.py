@@ -370,10 +370,20 @@ def test_pages_of_other_languages(spark):
 def test_common_words_of_few_pages(spark):
     """Too few pages give no list, and pages are then judged by their other features."""
     df = spark.createDataFrame([(i, PROSE * 3, None) for i in range(20)] + [(50, SPAM["keywords"], "en"), (51, SPAM["links"], None)], "id bigint, text string, lang string")
-    assert common_words(df, "text", "lang") == ()
+    assert not common_words(df, "text", "lang").hashes
     assert {r.id for r in stuffed_pages(df, "id", "text", lang="lang").collect()} == {50, 51}
 
 
+def test_a_rare_language_beside_a_usual_one(spark):
+    """Pages of a language too rare for a list of its own are not flagged for lacking the other's function words."""
+    rng = np.random.default_rng(13)
+    fine, bad = _other_pages("it", 400, rng)
+    rare, rare_bad = _other_pages("nl", 24, rng)
+    texts = [(t, "it", 0) for t in fine] + [(t, "it", 1) for t in bad] + [(t, "nl", 0) for t in rare] + [(t, "nl", 1) for t in rare_bad]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "id bigint, text string, lang string, bad int")
+    assert {r.id for r in stuffed_pages(df, "id", "text", lang="lang").collect()} == {i for i, x in enumerate(texts) if x[2]}
+
+
 def test_all_words_are_counted():
     texts = [*(SPAM | FINE).values(), None, "", "\x00 a\x00b", "Straße über-all’s «ok»"]
     page, _, words = batch_features(texts)
