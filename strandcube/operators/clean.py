@@ -7,13 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandcube.functions.labels import fold_column
 from strandcube.functions.values import present
+from strandcube.session import cut
 
 
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in ``order`` (which should be total). NULL keys count as equal."""
+    """One row per key, the first in ``order`` (which should be total). Rows with a NULL in their key are no repeats of each other and all stay."""
+    known = None
+    for k in keys:
+        known = F.col(k).isNotNull() if known is None else known & F.col(k).isNotNull()
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.where(known).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").unionByName(df.where(~known))
 
 
 def void_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
@@ -74,3 +79,31 @@ def seasonal_z(df: DataFrame, column: str, by: Sequence[str], limit: float = 3.0
     out = group_z(df, column, by, ddof=1)
     score = F.coalesce((F.col(column) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)), F.lit(0.0))
     return out.withColumns({"seasonal_z": score, "is_seasonal_anomaly": (F.abs(score) > limit).cast("int")}).drop("_mean", "_sd")
+
+
+def clean_readings(raw: DataFrame, ranges: Mapping[str, tuple[float, float]], labels: Sequence[str], outlier_z: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """Cleaned readings and the log of what was done, one row of counts.
+
+    In this order: repeated ids out (the first to arrive stays), impossible values
+    voided, weather folded onto ``labels`` and filled from the hour, gaps filled
+    from (segment, weekday, hour) and then from all, congestion outliers flagged.
+    """
+    arrival = [c for c in ("received_at", "timestamp", "segment_id") if c in raw.columns]
+    here = [c for c in ranges if c in raw.columns]
+    once = dedup_keep_first(raw, ["reading_id"], [*arrival, *here])
+    voided = cut(fold_column(void_ranges(once, ranges), "weather", labels, "weather_label").drop("weather").withColumnRenamed("weather_label", "weather"))
+    rows = voided.withColumn("hour_ts", F.date_trunc("hour", "timestamp"))
+    rows = fill_group_mode(rows, "weather", "hour_ts", "Clear").drop("hour_ts").withColumns({"_dow": F.weekday("timestamp"), "_hour": F.hour("timestamp")})
+    rows = fill_group_median(rows, here, ["segment_id", "_dow", "_hour"]).drop("_dow", "_hour")
+    out = cut(flag_outliers(rows, "congestion_index", ["segment_id"], outlier_z))
+    missing = sum((F.sum(F.col(c).isNull().cast("bigint")) for c in here), F.lit(0))
+    before = raw.agg(F.count(F.lit(1)).alias("rows_in"))
+    unique = once.agg(F.count(F.lit(1)).alias("_once"), *[x.alias(f"_v{i}") for i, x in enumerate(count_void(once, {c: ranges[c] for c in here}))])
+    gaps = voided.agg(F.sum(F.col("weather").isNull().cast("bigint")).alias("weather_missing"), missing.alias("imputed"))
+    after = out.agg(F.sum("is_outlier").alias("outliers"), F.count(F.lit(1)).alias("rows_out"))
+    one = {"_one": F.lit(1)}
+    log = before.withColumns(one)
+    for part in (unique, gaps, after):
+        log = log.join(F.broadcast(part.withColumns(one)), "_one")  # one row each
+    voids = sum((F.col(f"_v{i}") for i in range(len(here))), F.lit(0))
+    return out, log.select("rows_in", (F.col("rows_in") - F.col("_once")).alias("duplicates"), voids.alias("voided"), "weather_missing", "imputed", "outliers", "rows_out")

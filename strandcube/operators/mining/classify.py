@@ -47,14 +47,67 @@ def fit_classifiers(train: DataFrame, numeric: Sequence[str], categorical: Seque
     return {m: PipelineModel(stages=[prep, classifier(m, label, weight, n, trees).fit(rows)]) for m in names}
 
 
-def feature_importances(model: PipelineModel, rows: DataFrame, top: int = 15) -> list[tuple[str, float]]:
-    """The strongest features of a tree model with their names."""
+def feature_names(model: PipelineModel, rows: DataFrame) -> dict[int, str]:
+    """Names of the places of the feature vector, as ``column`` or ``column=value``."""
     attrs = model.transform(rows.limit(1)).schema["_x"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
-    values = model.stages[-1].featureImportances.toArray()
+    stages = {type(x).__name__: x for x in model.stages}
+    numeric = [c.removeprefix("_n_") for c in stages["ImputerModel"].getOutputCols()]
+    out = {}
+    for i, n in names.items():
+        if n.startswith("_std_"):
+            out[i] = numeric[int(n.removeprefix("_std_"))]
+        else:  # _o_<column>_<value>
+            column = next(c for c in sorted(stages["OneHotEncoderModel"].getOutputCols(), key=len, reverse=True) if n.startswith(f"{c}_"))
+            out[i] = f"{column.removeprefix('_o_')}={n.removeprefix(f'{column}_')}"
+    return out
+
+
+def feature_importances(model: PipelineModel, rows: DataFrame, top: int = 15) -> list[tuple[str, float]]:
+    """The strongest features of a tree model with their names."""
+    names, values = feature_names(model, rows), model.stages[-1].featureImportances.toArray()
     ranked = sorted(((names.get(i, str(i)), float(v)) for i, v in enumerate(values)), key=lambda x: (-x[1], x[0]))
     return ranked[:top]
 
 
+def tree_rules(model: PipelineModel, rows: DataFrame, labels: Sequence[str], max_depth: int = 4) -> list[str]:
+    """A decision tree as indented text down to ``max_depth`` splits, with the names of features and classes."""
+    names = feature_names(model, rows)
+    out: list[str] = []
+
+    def walk(node, depth: int) -> None:
+        pad = "|   " * depth + "|--- "
+        if node.numDescendants() == 0 or depth >= max_depth:
+            out.append(f"{pad}class: {labels[int(node.prediction())]}" + ("" if node.numDescendants() == 0 else " (cut off)"))
+            return
+        split = node.split()
+        name = names.get(split.featureIndex(), str(split.featureIndex()))
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            tests = (f"{name} <= {split.threshold():.4f}", f"{name} > {split.threshold():.4f}")
+        else:
+            left = ", ".join(f"{x:g}" for x in split.leftCategories())
+            tests = (f"{name} in {{{left}}}", f"{name} not in {{{left}}}")
+        for test, child in zip(tests, (node.leftChild(), node.rightChild()), strict=True):
+            out.append(pad + test)
+            walk(child, depth + 1)
+
+    walk(model.stages[-1]._java_obj.rootNode(), 0)
+    return out
+
+
+def cross_validate(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, fold: str = "fold", folds: int = 5, names: Sequence[str] = MODELS, trees: int = 300) -> list[tuple[str, float, float]]:
+    """Model, mean and population deviation of the accuracy over the folds, each left out once."""
+    scores: dict[str, list[float]] = {n: [] for n in names}
+    for k in range(folds):
+        models = fit_classifiers(rows.where(F.col(fold) != k), numeric, categorical, label, names=names, trees=trees)
+        held = rows.where(F.col(fold) == k)
+        for n, m in models.items():
+            hit = m.transform(held).agg(F.avg((F.col(label) == F.col("prediction")).cast("double"))).first()[0]
+            if hit is not None:
+                scores[n].append(float(hit))
+    mean = {n: sum(x) / len(x) for n, x in scores.items() if x}
+    return [(n, mean[n], (sum((v - mean[n]) ** 2 for v in scores[n]) / len(scores[n])) ** 0.5) for n in names if n in mean]
+
+
 def to_label(df: DataFrame, column: str, name: str = "label") -> DataFrame:
     return df.withColumn(name, F.col(column).cast("double") - 1)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandcube.session import cut
@@ -86,6 +86,47 @@ def kmeans_starts(df: DataFrame, columns: Sequence[str], starts: dict[int, int])
     return {r.k: (r.b.cost, np.array(r.b.cen).reshape(-1, len(columns))) for r in best}
 
 
+def _silhouette_sum(x: np.ndarray, lab: np.ndarray, a: int, b: int) -> float:
+    """Sum of the Euclidean silhouettes of points a..b-1 (0 in clusters of one point)."""
+    member = np.eye(int(lab.max()) + 1)[lab]
+    size = member.sum(0)
+    total = 0.0
+    for i in range(a, b, 256):
+        p, o = x[i : min(i + 256, b)], lab[i : min(i + 256, b)]
+        d = np.sqrt(np.maximum(((p[:, None] - x[None]) ** 2).sum(2), 0)) @ member
+        r = np.arange(len(p))
+        mine = d[r, o] / np.maximum(size[o] - 1, 1)
+        other = np.where(size > 0, d / np.maximum(size, 1), np.inf)
+        other[r, o] = np.inf
+        other = other.min(1)
+        with np.errstate(invalid="ignore"):
+            s = np.where(np.isfinite(other), (other - mine) / np.maximum(other, mine), 0.0)
+        total += float(np.where(size[o] > 1, np.nan_to_num(s), 0.0).sum())
+    return total
+
+
+def kmeans_sweep(df: DataFrame, columns: Sequence[str], starts: dict[int, int]) -> dict[int, tuple[float, np.ndarray, float]]:
+    """:func:`kmeans_starts`, with the mean silhouette of each k's best start; blocks of points are scored over the workers."""
+    best = kmeans_starts(df, columns, starts)
+    if not best:
+        return {}
+    spark = df.sparkSession
+    x = df.select(*columns).dropna().toPandas().to_numpy(float)  # counted to be few by kmeans_starts
+    labels = {k: ((x[:, None] - c[None]) ** 2).sum(2).argmin(1) for k, (_, c) in best.items()} if len(x) * max(best) < 5_000_000 else {k: np.concatenate([((x[i : i + 4096, None] - c[None]) ** 2).sum(2).argmin(1) for i in range(0, len(x), 4096)]) for k, (_, c) in best.items()}
+    shared = spark.sparkContext.broadcast((x, labels))
+    step = max(256, -(-len(x) // (4 * spark.sparkContext.defaultParallelism)))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points, lab = shared.value
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf["k"], "s": [_silhouette_sum(points, lab[k], a, b) for k, a, b in zip(pdf["k"], pdf["a"], pdf["b"], strict=True)]})
+
+    todo = [(k, a, min(a + step, len(x))) for k in best for a in range(0, len(x), step)]
+    got = spark.createDataFrame(todo, "k int, a int, b int").repartition(min(len(todo), spark.sparkContext.defaultParallelism)).mapInPandas(score, "k int, s double")
+    mean = {r.k: r.s / len(x) for r in got.groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    return {k: (cost, c, mean[k]) for k, (cost, c) in best.items()}
+
+
 def nearest_centre(df: DataFrame, columns: Sequence[str], centres: np.ndarray, name: str = "cluster") -> DataFrame:
     """Adds the number of the nearest centre; ties go to the first."""
     d = [sum(((F.col(c) - float(v)) ** 2 for c, v in zip(columns, m)), F.lit(0.0)) for m in centres]
@@ -158,12 +199,13 @@ def neighbour_pairs(df: DataFrame, key: str, columns: Sequence[str], eps: float)
     return a.join(b, [f"g{i}" for i in range(len(columns))]).where(d2 <= eps * eps).select("a", "b")
 
 
-def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_points: int, max_rounds: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_points: int) -> DataFrame:
     """``key, n_neighbours, is_core, cluster``; noise has cluster -1, a border point the smallest cluster it touches.
 
     Clusters are connected components of core points, found by rounds of
-    neighbour-minimum with pointer jumping; a cluster's number is the rank of its
-    smallest key. NULL coordinates are noise.
+    neighbour-minimum with pointer jumping until nothing moves (about the log of
+    the longest chain); a cluster's number is the rank of its smallest key. NULL
+    coordinates are noise.
     """
     points = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
     pairs = cut(neighbour_pairs(points, key, columns, eps))
@@ -171,19 +213,17 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_poin
     core = counts.where(F.col("n") >= min_points).select("k")
     links = cut(pairs.join(core.withColumnRenamed("k", "a"), "a", "left_semi").join(core.withColumnRenamed("k", "b"), "b", "left_semi"))
     labels = cut(core.select("k", F.col("k").alias("c")))
-    for _ in range(max_rounds):
+    while True:
         step = links.join(labels.select(F.col("k").alias("b"), "c"), "b").groupBy(F.col("a").alias("k")).agg(F.min("c").alias("c"))
+        was = labels.select("k", F.col("c").alias("_was"))
         jumped = step.alias("s").join(labels.alias("l"), F.col("s.c") == F.col("l.k")).select(F.col("s.k").alias("k"), F.least("s.c", "l.c").alias("c"))
-        new = cut(jumped)
-        moved = new.alias("n").join(labels.alias("o"), "k").where(F.col("n.c") != F.col("o.c")).limit(1).count()
-        labels = new
-        if not moved:
+        new = cut(jumped.join(was, "k").withColumn("_moved", F.col("c") != F.col("_was")).drop("_was"))
+        labels = new.drop("_moved")
+        if not new.where("_moved").limit(1).count():
             break
     border = pairs.join(labels.select(F.col("k").alias("b"), "c"), "b").groupBy(F.col("a").alias("k")).agg(F.min("c").alias("c"))
-    numbers = labels.select("c").distinct()
-    from pyspark.sql import Window
-
-    numbers = numbers.withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("c")) - 1)
+    # one row per cluster, so that one task can number them
+    numbers = labels.select("c").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("c")) - 1)
     out = df.select(F.col(key).alias("k")).join(counts, "k", "left").join(border, "k", "left").join(numbers, "c", "left")
     return out.select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).alias("n_neighbours"), F.coalesce((F.col("n") >= min_points).cast("int"), F.lit(0)).alias("is_core"), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandcube.functions.values import ratio
@@ -71,3 +71,11 @@ def stratified_holdout(df: DataFrame, label: str, key: str, fraction: float = 0.
     n_test = F.round(F.col("_all") * fraction)
     out = out.withColumns({"is_test": (F.col("_r") <= n_test).cast("int"), "fold": F.pmod(F.col("_r"), F.lit(folds)).cast("int")})
     return out.drop("_h", "_c", "_before", "_all", "_r")
+
+
+def mark_best(scores: DataFrame, metric: str, largest: bool = True, among: Column | None = None) -> DataFrame:
+    """Adds ``is_best`` (0/1): the model of the greatest (or least) metric among those allowed; ties go to the first name. A row per model."""
+    value = F.when(F.lit(True) if among is None else among, F.col(metric))
+    order = [F.desc_nulls_last("_v") if largest else F.asc_nulls_last("_v"), F.asc("model")]
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+    return scores.withColumn("_v", value).withColumn("is_best", ((rank == 1) & F.col("_v").isNotNull()).cast("int")).drop("_v")

@@ -38,16 +38,17 @@ def tail_split(df: DataFrame, ts: str, horizon: int) -> DataFrame:
     return df.withColumn("is_test", (back <= horizon).cast("int"))
 
 
-def fit_models(train: DataFrame, features: Sequence[str], y: str, ridge_alpha: float = 1.0, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3), seed: int = 42) -> dict:
-    """Ridge, random forest and gradient boosting on assembled features ``_x``."""
+def fit_models(train: DataFrame, features: Sequence[str], y: str, ridge_alpha: float = 1.0, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3), seed: int = 42, names: Sequence[str] = ("ridge", "random_forest", "gradient_boosting")) -> dict:
+    """Ridge, random forest and gradient boosting (those named) on assembled features ``_x``."""
     rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train).persist()
     row = rows.agg(F.stddev_pop(y).alias("s"), F.count(F.lit(1)).alias("n")).first()
     reg = ridge_alpha * float(row["s"] or 1.0) / max(row["n"], 1)
-    return {
-        "ridge": LinearRegression(featuresCol="_x", labelCol=y, regParam=reg, elasticNetParam=0.0, standardization=False).fit(rows),
-        "random_forest": RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=forest[0], maxDepth=forest[1], minInstancesPerNode=3, featureSubsetStrategy="all", seed=seed).fit(rows),
-        "gradient_boosting": GBTRegressor(featuresCol="_x", labelCol=y, maxIter=boosting[0], maxDepth=boosting[1], stepSize=0.05, seed=seed).fit(rows),
+    kinds = {
+        "ridge": LinearRegression(featuresCol="_x", labelCol=y, regParam=reg, elasticNetParam=0.0, standardization=False),
+        "random_forest": RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=forest[0], maxDepth=forest[1], minInstancesPerNode=3, featureSubsetStrategy="all", seed=seed),
+        "gradient_boosting": GBTRegressor(featuresCol="_x", labelCol=y, maxIter=boosting[0], maxDepth=boosting[1], stepSize=0.05, seed=seed),
     }
+    return {n: kinds[n].fit(rows) for n in names}
 
 
 def predict(models: dict, rows: DataFrame, features: Sequence[str]) -> DataFrame:

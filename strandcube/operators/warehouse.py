@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandcube.functions.calendar import calendar_parts, time_key
+from strandcube.functions.calendar import calendar_parts, congestion_level, is_congested, time_key
+from strandcube.functions.values import clip, ratio
 
 # Weather that counts as adverse, and categories of incident types.
 ADVERSE = ("Fog", "Heavy Rain", "Rain")
-CATEGORIES = {"Collision": "Accident", "Pedestrian": "Accident", "Vehicle Fire": "Accident", "Breakdown": "Obstruction", "Debris": "Obstruction", "Flooding": "Obstruction", "Road Work": "Planned"}
+CATEGORIES = {"Collision": "Accident", "Pedestrian": "Accident", "Breakdown": "Obstruction", "Debris": "Obstruction", "Signal Failure": "Obstruction", "Road Work": "Planned"}
 
 
 def surrogate(df: DataFrame, natural: Sequence[str], key: str) -> DataFrame:
@@ -66,6 +67,51 @@ def lookup_keys(fact: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]],
     return out
 
 
+def traffic_ratios(speed: Column, limit: Column, count: Column, lanes: Column, length: Column) -> dict[str, Column]:
+    """Speed against the limit (0 to 1.5), the delay that follows, vehicles per lane, and vehicle kilometres; NULL where a part is missing."""
+    speed_ratio = F.round(clip(ratio(speed, limit.cast("double")), 0.0, 1.5), 6)
+    return {
+        "speed_ratio": speed_ratio, "delay_index": F.round(clip(1 - speed_ratio, 0.0, 1.0), 6),
+        "flow_per_lane": F.round(ratio(count, lanes.cast("double")), 6), "vehicle_km": F.round(count * length, 6),
+    }
+
+
+def fact_traffic(base: DataFrame, segments: DataFrame, weathers: DataFrame) -> DataFrame:
+    """Traffic facts of cleaned readings (with the segment's limit, lanes and length and the hour's ``incident_count``).
+
+    Keys are looked up by name; a reading of no known segment or weather keeps a
+    NULL key. ``traffic_key`` is a hash of the reading, so that no order over all
+    rows is needed.
+    """
+    rows = lookup_keys(base, [(segments, "segment_id", "segment_key"), (weathers, "weather", "weather_key")])
+    level, made = congestion_level(F.col("congestion_index")), traffic_ratios(*[F.col(c) for c in ("avg_speed_kmph", "speed_limit_kmph", "vehicle_count", "lanes", "length_km")])
+    return rows.select(
+        hashed_key(["reading_id"]).alias("traffic_key"), "reading_id", time_key(F.col("timestamp")).alias("time_key"), "segment_key", "weather_key", "vehicle_count", "avg_speed_kmph", "occupancy_pct", "travel_time_min",
+        "congestion_index", level.alias("congestion_level"), *[e.alias(n) for n, e in made.items()], F.coalesce("incident_count", F.lit(0)).cast("bigint").alias("incident_count"), is_congested(F.col("congestion_index")).alias("is_congested"),
+    )
+
+
+def fact_incident(incidents: DataFrame, traffic: DataFrame, segments: DataFrame, weathers: DataFrame, types: DataFrame) -> DataFrame:
+    """Incident facts with keys, the congestion of their segment and hour (the greatest, if there are several), and ``is_major``.
+
+    Severities beyond 1 to 4 count as the nearest of them.
+    """
+    rows = lookup_keys(incidents, [(segments, "segment_id", "segment_key"), (weathers, "weather", "weather_key"), (types, "incident_type", "incident_type_key")])
+    rows = rows.withColumns({"time_key": time_key(F.col("timestamp")), "severity": clip(F.col("severity"), 1, 4).cast("int")})
+    context = traffic.where("segment_key IS NOT NULL AND time_key IS NOT NULL").groupBy("segment_key", "time_key").agg(F.max("congestion_index").alias("congestion_index"))
+    rows = rows.drop("congestion_index").join(context, ["segment_key", "time_key"], "left")
+    return rows.select(
+        hashed_key(["incident_id"]).alias("incident_key"), "incident_id", "time_key", "segment_key", "weather_key", "incident_type_key", "severity", "vehicles_involved", "lanes_blocked", "casualties",
+        "duration_min", "response_time_min", "congestion_index", (F.col("severity") >= 3).cast("int").alias("is_major"),
+    )
+
+
+def incidents_per_hour(incidents: DataFrame, segment: str, ts: str) -> DataFrame:
+    """``segment, hour_ts`` with the incidents, greatest severity, blocked lanes and mean response time of the hour."""
+    return incidents.where(F.col(segment).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(segment), F.date_trunc("hour", F.col(ts)).alias("hour_ts")).agg(
+        F.count("incident_id").alias("incident_count"), F.max("severity").alias("max_severity"), F.sum("lanes_blocked").alias("total_lanes_blocked"), F.avg("response_time_min").alias("mean_response_time"))
+
+
 def orphan_counts(checks: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
     """Per (name, fact, key, dimension, key): ``check_name, n_orphans``, the fact rows whose non-null key has no parent."""
     out = None

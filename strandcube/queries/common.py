@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcube.functions.aggregates import exact_avg, exact_sum, share
 from strandcube.functions.values import present
-from strandcube.plans.cube import Cube, Dimension
+from strandcube.plans.cube import Cube, Dimension, exact_total_of, mean_of, percent_of, rows_of, total_of
 from strandcube.sources.tables import table
 
 
@@ -26,20 +25,18 @@ def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, Dimension]:
 
 
 def traffic_cube(spark: SparkSession, sf_dir: str) -> Cube:
-    c = F.col
     measures = {
-        "n_obs": F.count(F.lit(1)), "avg_congestion": exact_avg(c("congestion_index")), "avg_speed": exact_avg(c("avg_speed_kmph")),
-        "vehicle_km_total": exact_sum(c("vehicle_km")), "pct_congested": share(c("is_congested")), "incident_total": F.sum("incident_count"),
+        "n_obs": rows_of(), "avg_congestion": mean_of("congestion_index"), "avg_speed": mean_of("avg_speed_kmph"),
+        "vehicle_km_total": exact_total_of("vehicle_km"), "pct_congested": percent_of("is_congested"), "incident_total": total_of("incident_count"),
     }
     dims = {k: v for k, v in dimensions(spark, sf_dir).items() if k != "type"}
     return Cube(traffic(spark, sf_dir), dims, measures)
 
 
 def incident_cube(spark: SparkSession, sf_dir: str) -> Cube:
-    c = F.col
     measures = {
-        "n_incidents": F.count(F.lit(1)), "avg_severity": exact_avg(c("severity")), "avg_duration": exact_avg(c("duration_min")),
-        "avg_response": exact_avg(c("response_time_min")), "casualty_total": F.sum("casualties"),
+        "n_incidents": rows_of(), "avg_severity": mean_of("severity"), "avg_duration": mean_of("duration_min"),
+        "avg_response": mean_of("response_time_min"), "casualty_total": total_of("casualties"),
     }
     return Cube(table(spark, sf_dir, "fact_incident"), dimensions(spark, sf_dir), measures)
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandcube.functions.aggregates import exact_avg
-from strandcube.functions.calendar import DURATION_BANDS, LANE_BANDS, RESPONSE_BANDS, SEVERITY_LABELS, VEHICLE_BANDS, band, congestion_level, is_congested
+from strandcube.functions.calendar import DURATION_BANDS, LANE_BANDS, RESPONSE_BANDS, SEVERITY_LABELS, VEHICLE_BANDS, add_time_features, band, congestion_level, is_congested
 from strandcube.functions.values import present
 from strandcube.operators.clean import seasonal_z
-from strandcube.operators.mining.classify import fit_classifiers, to_label
-from strandcube.operators.mining.clusters import cluster_indices, dbscan, kmeans_starts, nearest_centre, neighbour_pairs, pca_plane, silhouettes, standardise
-from strandcube.operators.mining.evaluate import balanced_weights, class_report, confusion_matrix, rank_fraction, regression_metrics, stratified_holdout, summary
+from strandcube.operators.mining.classify import cross_validate, feature_importances, fit_classifiers, to_label, tree_rules
+from strandcube.operators.mining.clusters import cluster_indices, dbscan, kmeans_sweep, nearest_centre, neighbour_pairs, pca_plane, silhouettes, standardise
+from strandcube.operators.mining.evaluate import balanced_weights, class_report, confusion_matrix, mark_best, rank_fraction, regression_metrics, stratified_holdout, summary
 from strandcube.operators.mining.isolation import IsolationForest
+from strandcube.operators.mining.profiles import cluster_summary, hotspots
 from strandcube.operators.mining.profiles import segment_profiles as profiles
-from strandcube.operators.mining.rules import frequent_itemsets, rules, tagged, top_rules
+from strandcube.operators.mining.rules import filtered_rules, frequent_itemsets, rules, shortened, tagged, top_rules
 from strandcube.operators.mining.series import fit_models, predict, supervised, tail_split
+from strandcube.plans.measures import DERIVED, MINING, MeasureModel
 from strandcube.queries.common import T_SQL, davg, incident_cube, traffic, traffic_cube
 from strandcube.queries.prepare import _bands
 from strandcube.session import cut
@@ -26,6 +28,8 @@ from strandcube.streaming.windows import hourly_counts, read_stream, run_availab
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, HORIZON = 0.05, 0.55, 1.1, 168
 FEATURES = ("mean_congestion", "p95_congestion", "congested_share", "peak_ratio", "weekend_ratio", "wet_penalty", "incidents_per_1k", "avg_speed_ratio")
+# The days of the week in order.
+DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 #: The k that are tried, the starts of each and those of the refit.
 K_RANGE, STARTS, REFIT_STARTS = range(2, 9), 25, 50
 
@@ -99,6 +103,31 @@ def rule_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_rules(association_rules(spark, sf_dir).where(F.col("consequent").startswith("SEVERITY=")), 25)
 
 
+def rules_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 strongest rules of confidence 0.7 and lift 1.3 or more."""
+    return filtered_rules(association_rules(spark, sf_dir), 0.7, 1.3)
+
+
+def itemset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent sets per size."""
+    return itemsets(spark, sf_dir).groupBy("size").agg(F.count(F.lit(1)).alias("n_sets"))
+
+
+def top_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 sets of greatest support (ties by name), with a label of bounded length."""
+    return itemsets(spark, sf_dir).orderBy(F.desc("n"), "itemset").limit(25).select("itemset", "n", shortened(F.col("itemset")).alias("label"))
+
+
+def ordered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents per severity and weekday with the places of both in their own order."""
+    rows = incident_cube(spark, sf_dir).star(["day_name"]).where("severity BETWEEN 1 AND 4")
+    counts = rows.groupBy("severity", "day_name").agg(F.count(F.lit(1)).alias("n"))
+    days = spark.createDataFrame([(d, i) for i, d in enumerate(DAYS)], "day_name string, day_order int")
+    labels = spark.createDataFrame(list(SEVERITY_LABELS), "severity int, severity_label string")
+    out = counts.join(F.broadcast(days), "day_name").join(F.broadcast(labels), "severity")
+    return out.select("severity_label", F.col("severity").alias("severity_order"), "day_name", "day_order", "n").orderBy("severity_order", "day_order")
+
+
 def _severity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "fact_incident").where("severity IS NOT NULL AND lanes_blocked IS NOT NULL")
     return confusion_matrix(f.select("severity", F.least(F.col("lanes_blocked") + 1, F.lit(4)).alias("guess")), "severity", "guess")
@@ -142,26 +171,59 @@ def dbscan_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan(z, "segment_id", ["z_latitude", "z_longitude", "z_mean_congestion"], 0.65, 3)
 
 
-def kmeans_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of standardised profiles for the k in 2..8 of best mean silhouette (25 starts each), refitted with 50 starts, with quality indices."""
+def _sweep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict]:
     z = cut(standardise(cut(_profiles(spark, sf_dir).dropna()), FEATURES))
     cols = [f"z_{c}" for c in FEATURES]
-    n = z.count()
-    best = None
-    for k, (_, centres) in sorted(kmeans_starts(z, cols, {k: STARTS for k in K_RANGE if k < n}).items()):
-        score = silhouettes(nearest_centre(z, cols, centres), "segment_id", cols, "cluster").agg(F.avg("silhouette")).first()[0]
-        if best is None or (score or -1) > best[0]:
-            best = (score or -1, k)
-    if best is None:
-        raise ValueError(f"{n} profiles are too few for a choice of k")
-    k = best[1]
-    inertia, centres = kmeans_starts(z, cols, {k: REFIT_STARTS})[k]
-    fitted = cut(nearest_centre(z, cols, centres))
-    score = silhouettes(fitted, "segment_id", cols, "cluster").agg(F.avg("silhouette")).first()[0]
+    tried = kmeans_sweep(z, cols, {k: STARTS for k in K_RANGE if k < z._counted})
+    if not tried:
+        raise ValueError(f"{z._counted} profiles are too few for a choice of k")
+    return z, cols, tried
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], int, float, float]:
+    """Profiles with the cluster of the refit at the k of best mean silhouette (ties: the smaller k), and k, inertia and silhouette."""
+    z, cols, tried = _sweep(spark, sf_dir)
+    k = min(tried, key=lambda k: (-tried[k][2], k))
+    inertia, centres, score = kmeans_sweep(z, cols, {k: REFIT_STARTS})[k]
+    return cut(nearest_centre(z, cols, centres)), cols, k, inertia, score
+
+
+def kmeans_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of standardised profiles for the k in 2..8 of best mean silhouette (25 starts each), refitted with 50 starts, with quality indices."""
+    fitted, cols, k, inertia, score = _clustered(spark, sf_dir)
     q = cluster_indices(fitted, cols, "cluster")
     return fitted.select("segment_id", "cluster", F.lit(k).alias("k"), F.lit(float(score)).alias("mean_silhouette"), F.lit(inertia).alias("inertia"), F.lit(q["davies_bouldin"]).alias("davies_bouldin"), F.lit(q["calinski_harabasz"]).alias("calinski_harabasz"))
 
 
+def _diagnostics(spark: SparkSession, sf_dir: str) -> list[tuple[int, float, float, float, float]]:
+    z, cols, tried = _sweep(spark, sf_dir)
+    out = []
+    for k, (inertia, centres, score) in sorted(tried.items()):
+        q = cluster_indices(nearest_centre(z, cols, centres), cols, "cluster")
+        out.append((k, float(inertia), float(score), q["davies_bouldin"], q["calinski_harabasz"]))
+    return out
+
+
+def kmeans_sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia, mean silhouette, Davies-Bouldin and Calinski-Harabasz of each k of the sweep."""
+    return spark.createDataFrame(_diagnostics(spark, sf_dir), "k int, inertia double, mean_silhouette double, davies_bouldin double, calinski_harabasz double")
+
+
+def cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, mean profile and name of each k-means cluster."""
+    return cluster_summary(_clustered(spark, sf_dir)[0], "cluster", FEATURES)
+
+
+def zone_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same summary and names for the zones in place of clusters."""
+    return cluster_summary(_profiles(spark, sf_dir).withColumn("zone", F.lower("zone")).where("zone IS NOT NULL"), "zone", FEATURES).select("zone", "segments", "label")
+
+
+def hotspot_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most congested segments."""
+    return hotspots(_profiles(spark, sf_dir)).select("segment_id", "zone", "mean_congestion", "p95_congestion", "incidents_per_1k")
+
+
 def pca_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca_plane(_profiles(spark, sf_dir).dropna(), "segment_id", FEATURES)
 
@@ -188,43 +250,163 @@ def _severity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("incident_key", "severity", *[F.col(c).cast("double").alias(c) for c in NUMERIC], *[F.coalesce(c, F.lit("?")).alias(c) for c in CATEGORICAL])
 
 
-def severity_models(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
-    """Hold-out accuracy and macro averages of four classifiers of severity."""
+def _severity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stratified_holdout(_severity_rows(spark, sf_dir), "severity", "incident_key")
-    rows = balanced_weights(to_label(rows, "severity"), "severity").persist()
+    return balanced_weights(to_label(rows, "severity"), "severity").persist()
+
+
+def severity_models(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
+    """Hold-out accuracy and macro averages of four classifiers of severity, with the best by macro-F1."""
+    rows = _severity_split(spark, sf_dir)
     models = fit_classifiers(rows.where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees)
     out = None
     for name, m in models.items():
         one = summary(confusion_matrix(m.transform(rows.where("is_test = 1")), "label", "prediction")).select(F.lit(name).alias("model"), "accuracy", "macro_precision", "macro_recall", "macro_f1")
         out = one if out is None else out.unionByName(one)
-    return out
+    return mark_best(out, "macro_f1")
+
+
+def severity_cv(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
+    """Mean and deviation of each classifier's accuracy over five stratified folds of the training part."""
+    got = cross_validate(_severity_split(spark, sf_dir).where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees)
+    return spark.createDataFrame(got, "model string, cv_accuracy_mean double, cv_accuracy_std double")
+
+
+def severity_importances(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
+    """The 15 strongest features of the random forest."""
+    train = _severity_split(spark, sf_dir).where("is_test = 0")
+    model = fit_classifiers(train, NUMERIC, CATEGORICAL, "label", names=("random_forest",), trees=trees)["random_forest"]
+    return spark.createDataFrame(feature_importances(model, train), "feature string, importance double")
+
+
+def severity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision tree as text to a depth of four, a line a row."""
+    train = _severity_split(spark, sf_dir).where("is_test = 0")
+    model = fit_classifiers(train, NUMERIC, CATEGORICAL, "label", names=("decision_tree",))["decision_tree"]
+    lines = tree_rules(model, train, [t for _, t in SEVERITY_LABELS])
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line int, rule string")
+
+
+#: The 18 features of the forecasts.
+FORECAST_FEATURES = ("lag_1", "lag_2", "lag_3", "lag_24", "lag_168", "roll_mean_3", "roll_mean_24", "roll_std_24", "incident_total_lag_1", "wet_lag_1", "hour", "day_of_week", "is_weekend", "month", "hour_sin", "hour_cos", "dow_sin", "dow_cos")
+
+
+def _forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = traffic_cube(spark, sf_dir).star(["timestamp", "weather"])
+    wet = F.col("weather").isin("Rain", "Heavy Rain").cast("double")
+    series = rows.groupBy("timestamp").agg(exact_avg(F.col("congestion_index")).alias("y"), F.coalesce(F.sum("incident_count"), F.lit(0)).alias("incident_total"), F.avg(wet).alias("wet"))
+    lagged = add_time_features(supervised(series, "timestamp", "y", ["incident_total", "wet"]), "timestamp")
+    return tail_split(lagged, "timestamp", HORIZON)
+
+
+def _forecasts(spark: SparkSession, sf_dir: str, **sizes: tuple[int, int]) -> DataFrame:
+    rows = _forecast_rows(spark, sf_dir).persist()
+    models = fit_models(rows.where("is_test = 0"), FORECAST_FEATURES, "y", **sizes)
+    return predict(models, rows.where("is_test = 1"), FORECAST_FEATURES)
+
+
+PREDICTED = {"persistence": "lag_1", "seasonal_naive": "lag_168", "ridge": "pred_ridge", "random_forest": "pred_random_forest", "gradient_boosting": "pred_gradient_boosting"}
 
 
 def forecast_models(spark: SparkSession, sf_dir: str, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3)) -> DataFrame:
     """One-step forecasts of the last 168 hours: actual, persistence and three models."""
-    rows = tail_split(_lags(spark, sf_dir), "timestamp", HORIZON).withColumns({"hour": F.hour("timestamp"), "dow": F.weekday("timestamp")}).persist()
-    use = [*_LAG_COLUMNS, "hour", "dow"]
-    models = fit_models(rows.where("is_test = 0"), use, "y", forest=forest, boosting=boosting)
-    out = predict(models, rows.where("is_test = 1"), use)
-    return out.select(F.date_format("timestamp", "yyyyMMddHH").cast("bigint").alias("time_key"), F.col("y").alias("actual"), F.col("lag_1").alias("persistence"), *[f"pred_{m}" for m in models])
+    out = _forecasts(spark, sf_dir, forest=forest, boosting=boosting)
+    return out.select(F.date_format("timestamp", "yyyyMMddHH").cast("bigint").alias("time_key"), F.col("y").alias("actual"), F.col("lag_1").alias("persistence"), *[p for p in PREDICTED.values() if p.startswith("pred_")])
 
 
-def isolation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows flagged by the isolation forest (lowest 1 %), by seasonal z, and by both, per zone."""
+def _forecast_scores(out: DataFrame) -> DataFrame:
+    """Errors of the baselines and the models, the best model by absolute error, and its lead over persistence in percent."""
+    scores = None
+    for name, c in PREDICTED.items():
+        one = out.agg(*regression_metrics(out, "y", c)).select(F.lit(name).alias("model"), "mae", "rmse", "mape", "r2")
+        scores = one if scores is None else scores.unionByName(one)
+    fitted = ~F.col("model").isin("persistence", "seasonal_naive")
+    marked = mark_best(scores, "mae", False, fitted)
+    naive = F.max(F.when(F.col("model") == "persistence", F.col("mae"))).over(Window.partitionBy(F.lit(1)))  # a row per model
+    return marked.withColumn("lead_pct", F.when(fitted, (1 - F.col("mae") / F.nullif(naive, F.lit(0.0))) * 100))
+
+
+def forecast_scores(spark: SparkSession, sf_dir: str, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3)) -> DataFrame:
+    return _forecast_scores(_forecasts(spark, sf_dir, forest=forest, boosting=boosting).persist())
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traffic rows with isolation score and flag (lowest 1 %), seasonal z and flag, and their agreement."""
     cols = ["congestion_index", "avg_speed_kmph", "occupancy_pct", "travel_time_min", "vehicle_count"]
-    rows = traffic_cube(spark, sf_dir).star(["zone", "day_name", "hour"])
+    rows = traffic_cube(spark, sf_dir).star(["zone", "road_type", "segment_id", "timestamp", "day_name", "hour"])
     rows = rows.withColumns({c: present(F.col(c)) for c in cols}).dropna(subset=cols)
     rows = seasonal_z(rows, "congestion_index", ["segment_key", "day_name", "hour"])
     scored = IsolationForest(trees=200).fit(rows, cols, "traffic_key").transform(rows)
-    scored = cut(scored.select("zone", "iso_score", "is_seasonal_anomaly", "incident_count"))
+    incidents = F.coalesce("incident_count", F.lit(0)).alias("incident_count")
+    scored = cut(scored.select("traffic_key", "segment_id", "timestamp", "zone", "road_type", "congestion_index", "avg_speed_kmph", "seasonal_z", "iso_score", "is_seasonal_anomaly", incidents))
     limit = scored.agg(F.percentile_approx("iso_score", 0.01, 10_000)).first()[0]
-    flags = scored.withColumn("is_iso", (F.col("iso_score") <= F.lit(limit)).cast("int")).withColumn("agreement", F.col("is_iso").bitwiseAND(F.col("is_seasonal_anomaly")))
-    return flags.groupBy("zone").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("is_iso").alias("n_iso"), F.sum("is_seasonal_anomaly").alias("n_seasonal"), F.sum("agreement").alias("n_agreed"),
-        F.sum(F.when(F.coalesce("incident_count", F.lit(0)) == 0, F.col("agreement")).otherwise(0)).alias("n_unexplained"),
+    return scored.withColumn("is_iso", (F.col("iso_score") <= F.lit(limit)).cast("int")).withColumn("agreement", F.col("is_iso").bitwiseAND(F.col("is_seasonal_anomaly")))
+
+
+def isolation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows flagged by the isolation forest (lowest 1 %), by seasonal z, and by both, with the rate, per zone."""
+    return _scored(spark, sf_dir).groupBy("zone").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_iso").alias("n_iso"), (F.avg("is_iso") * 100).alias("iso_rate_pct"), F.sum("is_seasonal_anomaly").alias("n_seasonal"), F.sum("agreement").alias("n_agreed"),
+        F.sum(F.when(F.col("incident_count") == 0, F.col("agreement")).otherwise(0)).alias("n_unexplained"),
     )
 
 
+def lowest_scores(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+    """The n lowest isolation scores among the rows both detectors flag."""
+    return _scored(spark, sf_dir).where("agreement = 1").orderBy("iso_score", "traffic_key").limit(n)
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows the isolation forest flags: what is kept of the anomalies."""
+    return _scored(spark, sf_dir).where("is_iso = 1")
+
+
+def flagged_hours(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
+    """The n greatest seasonal deviations among hours that both detectors flag and that have no incident."""
+    return _scored(spark, sf_dir).where("agreement = 1 AND incident_count = 0").orderBy(F.desc("seasonal_z"), "traffic_key").limit(n)
+
+
+def measures_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures over anomalies, forecast (ridge), rules and clusters."""
+    rows = _forecast_rows(spark, sf_dir).persist()
+    ridge = predict(fit_models(rows.where("is_test = 0"), FORECAST_FEATURES, "y", names=("ridge",)), rows.where("is_test = 1"), FORECAST_FEATURES)
+    facts = {
+        "anomaly": flagged_rows(spark, sf_dir), "rule": association_rules(spark, sf_dir), "cluster": kmeans_profiles(spark, sf_dir),
+        "forecast": ridge.select(F.col("y").alias("actual"), F.col("pred_ridge").alias("predicted"), F.col("lag_1").alias("persistence")),
+    }
+    return MeasureModel(facts, MINING, DERIVED).query(["anomalies", "agreed_anomalies", "unexplained_anomalies", "forecast_mae", "persistence_mae", "forecast_lift_pct", "rules", "max_lift", "segments_clustered"])
+
+
+def measures_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MeasureModel({"rule": association_rules(spark, sf_dir)}, MINING, DERIVED).query(["rules", "max_lift"])
+
+
+def measures_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast measures with the seasonal-naive baseline as the forecast."""
+    test = tail_split(_lags(spark, sf_dir), "timestamp", HORIZON).where("is_test = 1")
+    fact = test.select(F.col("y").alias("actual"), F.col("lag_168").alias("predicted"), F.col("lag_1").alias("persistence"))
+    out = MeasureModel({"forecast": fact}, MINING, DERIVED).query(["forecast_mae", "persistence_mae", "forecast_lift_pct"])
+    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
+
+
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of all mining tasks in tall form: task, model, metric, value."""
+    tall = lambda df, task, names: df.withColumn("task", F.lit(task)).unpivot(["task", "model"], [F.col(n).cast("double").alias(n) for n in names], "metric", "value")
+    severity = severity_models(spark, sf_dir)
+    parts = [tall(severity, "Classification", ["accuracy", "macro_precision", "macro_recall", "macro_f1"]), tall(severity_cv(spark, sf_dir), "Classification", ["cv_accuracy_mean"])]
+    parts.append(tall(forecast_scores(spark, sf_dir), "Forecasting", ["mae", "rmse", "mape", "r2"]))
+    sweep = kmeans_sweep_scores(spark, sf_dir).withColumn("model", F.concat(F.lit("k="), F.col("k").cast("string")))
+    parts.append(tall(sweep, "Clustering", ["mean_silhouette", "davies_bouldin", "calinski_harabasz", "inertia"]))
+    flags = isolation_flags(spark, sf_dir).agg(*[F.sum(c).alias(c) for c in ("n", "n_iso", "n_seasonal", "n_agreed", "n_unexplained")]).withColumn("model", F.lit("ensemble"))
+    parts.append(tall(flags, "Anomaly detection", ["n", "n_iso", "n_seasonal", "n_agreed", "n_unexplained"]))
+    counts = _incident_tags(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_transactions")).withColumn("n_rules", F.lit(association_rules(spark, sf_dir).count())).withColumn("model", F.lit("level-wise"))
+    parts.append(tall(counts, "Association rules", ["n_transactions", "n_rules"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def stream_hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per hour and type from a stream over the event file."""
     counts = run_available(hourly_counts(read_stream(spark, sf_dir, "ts", "events.parquet"), "ts", "event_id", "event_type"))
@@ -241,8 +423,9 @@ def generated_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    segment_profiles, rank_pct, hourly_series, supervised_lags, baseline_metrics, itemsets, association_rules, rule_explorer, severity_confusion, severity_report, severity_summary, dbscan_neighbours, silhouette_zones,
-    dbscan_hotspots, kmeans_profiles, pca_profiles, severity_models, forecast_models, isolation_flags, stream_hourly_windows, generated_feed)}
+    segment_profiles, rank_pct, hourly_series, supervised_lags, baseline_metrics, itemsets, association_rules, rule_explorer, rules_filtered, itemset_sizes, top_itemsets, ordered_counts, severity_confusion, severity_report, severity_summary,
+    dbscan_neighbours, silhouette_zones, dbscan_hotspots, kmeans_profiles, kmeans_sweep_scores, cluster_names, zone_names, hotspot_segments, pca_profiles, severity_models, severity_cv, severity_importances, severity_rules, forecast_models, forecast_scores,
+    isolation_flags, lowest_scores, flagged_rows, flagged_hours, measures_mining, measures_rules, measures_baselines, model_metrics, stream_hourly_windows, generated_feed)}
 
 _A = lambda flag, v: davg(f"CASE WHEN {flag} = {v} THEN congestion_index END")
 _PROFILES = f"""{T_SQL}, p AS (SELECT segment_id, zone, count(*) AS n_rows, {davg('congestion_index')} AS mean_congestion, round(quantile_cont(congestion_index, 0.95), 8) AS p95_congestion, {davg('is_congested')} AS congested_share,
@@ -293,6 +476,18 @@ SQL = {
     "severity_report": f"WITH {_CLASSES} SELECT label, support, round(p, 8) AS precision, round(r, 8) AS recall, round(f, 8) AS f1 FROM e",
     "severity_summary": f"""WITH {_CLASSES} SELECT 'accuracy' AS metric, round(CAST(sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS DOUBLE) / sum(n), 8) AS value FROM g UNION ALL SELECT 'macro_precision', round(avg(p), 8) FROM e
 UNION ALL SELECT 'macro_recall', round(avg(r), 8) FROM e UNION ALL SELECT 'macro_f1', round(avg(f), 8) FROM e""",
+    "rules_filtered": f"WITH {_RULES} SELECT * FROM rules WHERE confidence >= 0.7 AND lift >= 1.3 ORDER BY lift DESC, confidence DESC, support DESC, antecedent, consequent LIMIT 200",
+    "itemset_sizes": f"WITH {_SETS} SELECT size, count(*) AS n_sets FROM named GROUP BY ALL",
+    "top_itemsets": f"WITH {_SETS} SELECT itemset, n, CASE WHEN length(itemset) >= 58 THEN substr(itemset, 1, 55) || '...' ELSE itemset END AS label FROM named ORDER BY n DESC, itemset LIMIT 25",
+    "ordered_counts": """SELECT ['Minor', 'Moderate', 'Serious', 'Critical'][severity] AS severity_label, severity AS severity_order, day_name, CAST(list_position(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'], day_name) - 1 AS INT) AS day_order, count(*) AS n
+FROM fact_incident JOIN dim_time USING (time_key) WHERE severity BETWEEN 1 AND 4 GROUP BY ALL""",
+    "measures_rules": f"WITH {_RULES} SELECT count(*) AS rules, max(lift) AS max_lift FROM rules",
+    "measures_baselines": f"""WITH {_LAGGED}, x AS (SELECT * FROM f ORDER BY timestamp DESC LIMIT {HORIZON}), m AS (SELECT avg(abs(y - lag_168)) AS a, avg(abs(y - lag_1)) AS b FROM x)
+SELECT round(a, 8) AS forecast_mae, round(b, 8) AS persistence_mae, round((b - a) / nullif(b, 0), 8) AS forecast_lift_pct FROM m""",
+    "hotspot_segments": f"WITH {_PROFILES} SELECT segment_id, zone, mean_congestion, p95_congestion, incidents_per_1k FROM p ORDER BY mean_congestion DESC, segment_id LIMIT 10",
+    "zone_names": f"""WITH {_PROFILES}, c AS (SELECT lower(zone) AS zone, count(*) AS segments, round(avg(mean_congestion), 4) AS m, round(avg(peak_ratio), 4) AS k, round(avg(incidents_per_1k), 4) AS i FROM p WHERE zone IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0) / count(*) OVER () AS q FROM c), th AS (SELECT quantile_cont(k, 0.5) AS k5, quantile_cont(k, 0.6) AS k6, quantile_cont(i, 0.75) AS i75 FROM c)
+SELECT zone, segments, CASE WHEN q >= 0.75 AND k >= k5 THEN 'Chronic peak-hour bottleneck' WHEN q >= 0.75 THEN 'All-day saturated corridor' WHEN q >= 0.4 AND k >= k6 THEN 'Commuter-driven corridor' WHEN i >= i75 THEN 'Incident-prone but free-flowing' ELSE 'Stable low-stress segment' END AS label FROM r, th""",
     "dbscan_neighbours": f"WITH {_XY} SELECT a.segment_id, count(*) AS n_neighbours FROM xy a, xy b WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4 GROUP BY ALL",
     "silhouette_zones": f"""WITH {_XY}, k AS (SELECT * FROM xy WHERE zone IS NOT NULL), n AS (SELECT zone, count(*) AS n FROM k GROUP BY ALL),
 d AS (SELECT a.segment_id, a.zone AS own, b.zone AS other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS s FROM k a, k b GROUP BY ALL),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandcube.functions.aggregates import exact_avg
 from strandcube.functions.values import ratio
-from strandcube.plans.measures import DERIVED, INCIDENTS, TRAFFIC, MeasureModel, month_over_month, trailing_mean_of_days
+from strandcube.plans.measures import DERIVED, INCIDENTS, TIMED, TRAFFIC, MeasureModel
 from strandcube.queries.common import INCIDENT_AGGS, SEG, T_SQL, TIME, TRAFFIC_AGGS, TYPE, WEATHER, davg, incident_cube, traffic_cube
 
 HOURS = tuple(range(24))
@@ -16,8 +16,9 @@ WEATHERS = ("Clear", "Cloudy", "Fog", "Heavy Rain", "Rain", "Sleet")
 
 
 def rollup_zone_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the stored cuboid of zones, quarters and months."""
     cube = traffic_cube(spark, sf_dir)
-    cube.materialise(["zone", "year", "month"])
+    cube.materialise(["zone", "year", "quarter", "month"])
     return cube.roll_up(["zone", "year", "month"])
 
 
@@ -40,7 +41,9 @@ def dice_subcube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pivot_roadtype_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the weekday and weekend means, both weighted alike, per road type and hour."""
-    cuboid = traffic_cube(spark, sf_dir).roll_up(["road_type", "hour", "is_weekend"], ["avg_congestion"])
+    cube = traffic_cube(spark, sf_dir)
+    cube.materialise(["road_type", "hour", "is_weekend"], ["n_obs", "avg_congestion"])
+    cuboid = cube.roll_up(["road_type", "hour", "is_weekend"], ["avg_congestion"])
     named = cuboid.withColumn("_h", F.format_string("h%02d", "hour"))
     return named.groupBy("road_type").pivot("_h", [f"h{h:02d}" for h in HOURS]).agg(F.round(F.avg("avg_congestion"), 6))
 
@@ -77,9 +80,9 @@ def cuboid_segment_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> MeasureModel:
-    t = traffic_cube(spark, sf_dir).star(["zone", "year", "month", "hour", "is_peak_hour", "is_adverse"])
-    i = incident_cube(spark, sf_dir).star(["zone", "year", "month", "hour", "is_adverse"])
-    return MeasureModel({"traffic": t, "incident": i}, TRAFFIC + INCIDENTS, DERIVED)
+    t = traffic_cube(spark, sf_dir).star(["zone", "year", "month", "date", "hour", "is_peak_hour", "is_adverse"])
+    i = incident_cube(spark, sf_dir).star(["zone", "year", "month", "date", "hour", "is_adverse"])
+    return MeasureModel({"traffic": t, "incident": i}, TRAFFIC + INCIDENTS, DERIVED, TIMED)
 
 
 _BASIC = ["observations", "avg_congestion", "peak_congestion", "avg_speed", "avg_speed_ratio", "avg_travel_time", "avg_delay_index", "vehicle_km_total", "congested_hours", "congested_hours_pct",
@@ -98,17 +101,24 @@ def measures_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measures_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monthly = _model(spark, sf_dir).query(["avg_congestion", "incidents"], ["year", "month"]).withColumn("month_index", F.col("year") * 12 + F.col("month"))
-    out = month_over_month(month_over_month(monthly, "avg_congestion"), "incidents")
-    return out.select("year", "month", "avg_congestion", "avg_congestion_pm", "avg_congestion_mom", "incidents", "incidents_pm", "incidents_mom")
+    """Measures of the month before and the change since, per month."""
+    names = ["avg_congestion", "avg_congestion_pm", "avg_congestion_mom", "incidents", "incidents_pm", "incidents_mom"]
+    return _model(spark, sf_dir).query(names, ["year", "month"])
 
 
 def measures_rolling7d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = traffic_cube(spark, sf_dir).roll_up(["zone", "date"], ["avg_congestion"])
-    out = trailing_mean_of_days(daily, "avg_congestion", "date", 7, ["zone"])
+    """Mean of the daily means of the last seven days, per zone and day."""
+    out = _model(spark, sf_dir).query(["avg_congestion", "avg_congestion_7d"], ["zone", "date"])
     return out.select("zone", F.col("date").cast("string").alias("date"), "avg_congestion", F.round("avg_congestion_7d", 8).alias("avg_congestion_7d"))
 
 
+def measures_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time measures per zone and month under filters on weather, hours and the month."""
+    names = ["avg_congestion", "avg_congestion_pm", "avg_congestion_mom", "avg_congestion_7d"]
+    out = _model(spark, sf_dir).query(names, ["zone", "month"], {"is_adverse": [0], "hour": list(range(6, 22)), "month": [4, 5]})
+    return out.select("zone", "month", *[F.round(c, 8).alias(c) for c in names])
+
+
 def hour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekday and weekend profile of the day."""
     rows = traffic_cube(spark, sf_dir).star(["hour", "is_weekend"])
@@ -138,7 +148,7 @@ def overview_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rollup_zone_month, rollup_city_quarter, drilldown_zone, slice_weather, dice_subcube, pivot_roadtype_hour, pivot_severity_weather, cube_incidents, top_congested_segments, incident_impact,
-    cuboid_zone_month, cuboid_roadtype_hour, cuboid_segment_day, measures_by_zone, measures_contrast, measures_mom, measures_rolling7d,
+    cuboid_zone_month, cuboid_roadtype_hour, cuboid_segment_day, measures_by_zone, measures_contrast, measures_mom, measures_rolling7d, measures_in_context,
     hour_profile, day_hour_grid, weather_impact, incidents_by_type_hour, overview_shares)}
 
 _T = f"WITH {T_SQL} SELECT"
@@ -176,8 +186,13 @@ SQL = {
 b AS (SELECT year, month, count(*) AS incidents FROM fact_incident {SEG} {TIME} {WEATHER} GROUP BY ALL), m AS (SELECT * FROM a FULL JOIN b USING (year, month))
 SELECT m.year, m.month, m.avg_congestion, p.avg_congestion AS avg_congestion_pm, (m.avg_congestion - p.avg_congestion) / nullif(p.avg_congestion, 0) AS avg_congestion_mom,
   m.incidents, p.incidents AS incidents_pm, CAST(m.incidents - p.incidents AS DOUBLE) / nullif(p.incidents, 0) AS incidents_mom FROM m LEFT JOIN m p ON m.k = p.k + 1""",
-    "measures_rolling7d": f"""WITH {T_SQL}, a AS (SELECT zone, date, {_AVG} FROM t {SEG} {TIME} GROUP BY ALL)
+    "measures_rolling7d": f"""WITH {T_SQL}, a AS (SELECT zone, date, {_AVG} FROM t {SEG} {TIME} {WEATHER} GROUP BY ALL)
 SELECT zone, CAST(date AS VARCHAR) AS date, avg_congestion, round(avg(avg_congestion) OVER (PARTITION BY zone ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW), 8) AS avg_congestion_7d FROM a""",
+    "measures_in_context": f"""WITH {T_SQL}, r AS (SELECT zone, month, date, congestion_index FROM t {SEG} {TIME} {WEATHER} WHERE is_adverse = 0 AND hour BETWEEN 6 AND 21),
+m AS (SELECT zone, month, {_AVG}, max(date) AS last FROM r GROUP BY ALL), d AS (SELECT zone, date, {_AVG} FROM r GROUP BY ALL)
+SELECT m.zone, m.month, round(m.avg_congestion, 8) AS avg_congestion, round(p.avg_congestion, 8) AS avg_congestion_pm, round((m.avg_congestion - p.avg_congestion) / nullif(p.avg_congestion, 0), 8) AS avg_congestion_mom,
+  (SELECT round(avg(d.avg_congestion), 8) FROM d WHERE d.zone IS NOT DISTINCT FROM m.zone AND d.date BETWEEN m.last - INTERVAL 6 DAY AND m.last) AS avg_congestion_7d
+FROM m LEFT JOIN m p ON m.zone IS NOT DISTINCT FROM p.zone AND m.month = p.month + 1 WHERE m.month IN (4, 5)""",
     "hour_profile": f"{_T} hour, {davg('CASE WHEN is_weekend = 0 THEN congestion_index END')} AS weekday, {davg('CASE WHEN is_weekend = 1 THEN congestion_index END')} AS weekend FROM t {TIME} GROUP BY ALL",
     "day_hour_grid": f"{_T} day_name, hour, {_AVG} FROM t {TIME} GROUP BY ALL",
     "weather_impact": f"{_T} weather, is_adverse, count(*) AS n_obs, {_AVG}, {_SPEED} FROM t {WEATHER} GROUP BY ALL",

@@ -15,10 +15,10 @@ from strandcube.functions.calendar import (
     congestion_level,
     is_congested,
 )
-from strandcube.functions.labels import canonical_label, vocabulary
+from strandcube.functions.labels import entity_number, fold_column, fold_columns, vocabulary
 from strandcube.functions.values import clip, present, ratio
-from strandcube.operators.clean import count_void, dedup_keep_first, fill_group_median, fill_group_mode, flag_outliers, seasonal_z, void_ranges
-from strandcube.operators.warehouse import ADVERSE, category, dim_date, dim_labels, dim_time, lookup_keys, orphan_counts, surrogate
+from strandcube.operators.clean import clean_readings, count_void, dedup_keep_first, fill_group_median, fill_group_mode, flag_outliers, seasonal_z, void_ranges
+from strandcube.operators.warehouse import ADVERSE, category, dim_date, dim_labels, dim_time, fact_incident, fact_traffic, incidents_per_hour, orphan_counts, surrogate
 from strandcube.queries.common import T_SQL, davg, traffic
 from strandcube.sources.tables import table
 
@@ -48,7 +48,7 @@ def voided_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = vocabulary(table(spark, sf_dir, "dim_weather"), "weather")
     rows = table(spark, sf_dir, "readings").select("reading_id", F.date_trunc("hour", "timestamp").alias("hour_ts"), "weather")
-    return rows.withColumn("weather", canonical_label(F.col("weather"), labels))
+    return fold_column(rows, "weather", labels, "weather_label").drop("weather").withColumnRenamed("weather_label", "weather")
 
 
 def normalise_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,14 +151,44 @@ def dim_date_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dim_date(table(spark, sf_dir, "dim_time").select("date")).drop("date")
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "dim_segment").select("segment_key", "segment_id", "speed_limit_kmph", "lanes", "length_km", entity_number(F.col("segment_id")).alias("_number"))
+
+
+def _incident_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per incident, as it was received last, with folded labels and the segment's own spelling."""
+    cols = ["incident_id", "segment_id", "timestamp", "incident_type", "severity", "vehicles_involved", "lanes_blocked", "duration_min", "response_time_min", "weather", "casualties", "received_at"]
+    raw = table(spark, sf_dir, "incidents").select(*cols).where("incident_id IS NOT NULL")
+    vocabularies = {"weather": vocabulary(table(spark, sf_dir, "dim_weather"), "weather"), "incident_type": vocabulary(table(spark, sf_dir, "dim_incident_type"), "incident_type")}
+    rows = fold_columns(raw, vocabularies).drop(*vocabularies).withColumnsRenamed({f"{c}_label": c for c in vocabularies})
+    rows = rows.withColumn("_number", entity_number(F.col("segment_id"))).drop("segment_id").join(F.broadcast(_segments(spark, sf_dir).select("segment_id", "_number").where("_number IS NOT NULL").dropDuplicates(["_number"])), "_number", "left").drop("_number")
+    rest = [c for c in rows.columns if c not in ("incident_id", "received_at")]
+    last = F.max(F.struct("received_at", *[present(F.col(c)).alias(c) if c in ("duration_min", "response_time_min") else F.col(c) for c in rest])).alias("_x")
+    return rows.groupBy("incident_id").agg(last).select("incident_id", *[F.col(f"_x.{c}").alias(c) for c in rest])
+
+
 def fact_traffic_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings with surrogate keys looked up, as counts per key pair."""
-    segments = table(spark, sf_dir, "dim_segment").select("segment_id", "segment_key")
-    weathers = table(spark, sf_dir, "dim_weather").select("weather", "weather_key")
-    labels = vocabulary(table(spark, sf_dir, "dim_weather"), "weather")
-    r = table(spark, sf_dir, "readings").select("reading_id", "segment_id", canonical_label(F.col("weather"), labels).alias("weather"), F.date_format("timestamp", "yyyyMMdd").cast("bigint").alias("day_key"))
-    out = lookup_keys(r, [(segments, "segment_id", "segment_key"), (weathers, "weather", "weather_key")])
-    return out.groupBy("segment_key", "weather_key", "day_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("reading_id").alias("n_ids"))
+    """The traffic fact of the readings: keys, measures voided where impossible, ratios, level and the hour's incidents."""
+    segments, weathers = _segments(spark, sf_dir), table(spark, sf_dir, "dim_weather").select("weather", "weather_key")
+    cols = ["reading_id", "segment_id", "timestamp", "received_at", "vehicle_count", "avg_speed_kmph", "occupancy_pct", "travel_time_min", "congestion_index", "weather"]
+    raw = dedup_keep_first(table(spark, sf_dir, "readings").select(*cols), ["reading_id"], ["received_at", "segment_id", "timestamp", *RANGES, "weather"])
+    rows = fold_column(void_ranges(raw, RANGES), "weather", vocabulary(weathers, "weather"), "weather_label").drop("weather").withColumnRenamed("weather_label", "weather")
+    rows = rows.withColumns({"hour_ts": F.date_trunc("hour", "timestamp"), "travel_time_min": present(F.col("travel_time_min"))})
+    hours = incidents_per_hour(_incident_log(spark, sf_dir), "segment_id", "timestamp").select("segment_id", "hour_ts", "incident_count")
+    rows = rows.join(segments.select("segment_id", "speed_limit_kmph", "lanes", "length_km"), "segment_id", "left").join(hours, ["segment_id", "hour_ts"], "left")
+    return fact_traffic(rows, segments, weathers).drop("traffic_key")
+
+
+def fact_incident_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incident fact of the incident log, with the congestion that fact_traffic shows for its segment and hour."""
+    segments, weathers, types = _segments(spark, sf_dir), table(spark, sf_dir, "dim_weather"), table(spark, sf_dir, "dim_incident_type")
+    return fact_incident(_incident_log(spark, sf_dir), traffic(spark, sf_dir), segments, weathers, types).drop("incident_key")
+
+
+def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of cleaning the readings: repeats, voided and filled values, outliers."""
+    raw = table(spark, sf_dir, "readings").select("reading_id", "segment_id", "timestamp", "received_at", "weather", *RANGES)
+    return clean_readings(raw, RANGES, vocabulary(table(spark, sf_dir, "dim_weather"), "weather"))[1]
 
 
 def fk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +208,7 @@ def seasonal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dedup_readings, void_and_count, voided_readings, normalise_weather, fill_hour_mode, impute_seasonal_median, impute_incident_median, outlier_flags, calendar_features, cyclical_features,
-    discretise_levels, band_labels, analytical_base, incident_features, dim_time_build, dim_segment_build, dim_weather_build, dim_incident_type_build, dim_date_build, fact_traffic_build, fk_check, seasonal_flags)}
+    discretise_levels, band_labels, analytical_base, incident_features, dim_time_build, dim_segment_build, dim_weather_build, dim_incident_type_build, dim_date_build, fact_traffic_build, fact_incident_build, clean_log, fk_check, seasonal_flags)}
 
 _V = {c: f"CASE WHEN {c} BETWEEN {lo:g} AND {hi:g} THEN {c} END" for c, (lo, hi) in RANGES.items()}
 _FOLD = "lower(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g'))"
@@ -190,6 +220,19 @@ named AS (
     AND (levenshtein(f, k) = 1 OR (levenshtein(f, k) = 2 AND (length(k) >= 8 OR (length(f) = length(k) AND list_sort(string_split(f, '')) = list_sort(string_split(k, '')))))))
   QUALIFY row_number() OVER (PARTITION BY raw ORDER BY levenshtein(f, k), label) = 1),
 wr AS (SELECT r.*, n.label, date_trunc('hour', r.timestamp) AS hour_ts FROM readings r LEFT JOIN named n ON r.weather = n.raw)"""
+_LOG = """
+lv AS (SELECT 'weather' AS field, weather AS label, lower(regexp_replace(weather, '[^A-Za-z0-9]', '', 'g')) AS k FROM dim_weather UNION SELECT 'incident_type', incident_type, lower(regexp_replace(incident_type, '[^A-Za-z0-9]', '', 'g')) FROM dim_incident_type),
+lr AS (SELECT DISTINCT field, raw, lower(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g')) AS f FROM (SELECT 'weather' AS field, weather AS raw FROM incidents UNION SELECT 'incident_type', incident_type FROM incidents) WHERE raw IS NOT NULL),
+ln AS (SELECT lr.field, lr.raw, lv.label FROM lr JOIN lv ON lr.field = lv.field
+  WHERE f = k OR (f NOT IN ('', 'na', 'nan', 'null', 'none', 'nil', 'unknown', 'notreported', 'notavailable', 'missing', 'tbc', 'tbd', 'other', 'undefined') AND f NOT IN (SELECT k FROM lv x WHERE x.field = lr.field)
+    AND (levenshtein(f, k) = 1 OR (levenshtein(f, k) = 2 AND (length(k) >= 8 OR (length(f) = length(k) AND list_sort(string_split(f, '')) = list_sort(string_split(k, '')))))))
+  QUALIFY row_number() OVER (PARTITION BY lr.field, lr.raw ORDER BY levenshtein(f, k), lv.label) = 1),
+li AS (SELECT i.incident_id, i.received_at, i.timestamp, i.severity, i.vehicles_involved, i.lanes_blocked, CASE WHEN NOT isnan(i.duration_min) THEN i.duration_min END AS duration_min,
+    CASE WHEN NOT isnan(i.response_time_min) THEN i.response_time_min END AS response_time_min, i.casualties, a.label AS weather, b.label AS incident_type, s.segment_id
+  FROM incidents i LEFT JOIN ln a ON a.field = 'weather' AND a.raw = i.weather LEFT JOIN ln b ON b.field = 'incident_type' AND b.raw = i.incident_type
+  LEFT JOIN dim_segment s ON TRY_CAST(regexp_extract(s.segment_id, '(\\d+)', 1) AS BIGINT) = TRY_CAST(regexp_extract(i.segment_id, '(\\d+)', 1) AS BIGINT) WHERE i.incident_id IS NOT NULL),
+log AS (SELECT * FROM li QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY received_at DESC NULLS LAST, timestamp DESC NULLS LAST, severity DESC NULLS LAST, vehicles_involved DESC NULLS LAST, lanes_blocked DESC NULLS LAST,
+  duration_min DESC NULLS LAST, response_time_min DESC NULLS LAST, casualties DESC NULLS LAST, weather DESC NULLS LAST, incident_type DESC NULLS LAST, segment_id DESC NULLS LAST) = 1)"""
 _CAL = """CAST(year(ts) AS INT) AS year, CAST(quarter(ts) AS INT) AS quarter, CAST(month(ts) AS INT) AS month, monthname(ts) AS month_name, CAST(weekofyear(ts) AS INT) AS week_of_year,
   CAST(day(ts) AS INT) AS day_of_month, CAST(isodow(ts) - 1 AS INT) AS day_of_week, dayname(ts) AS day_name, CAST(hour(ts) AS INT) AS hour, CAST(isodow(ts) >= 6 AS INT) AS is_weekend,
   CAST(hour(ts) IN (7, 8, 9, 17, 18, 19) AS INT) AS is_peak_hour,
@@ -242,12 +285,33 @@ SELECT incident_key, severity, duration_min, x AS context_congestion, {_LEVEL.fo
     "dim_time_build": f"SELECT CAST(strftime(ts, '%Y%m%d%H') AS BIGINT) AS time_key, {_CAL} FROM (SELECT date_trunc('hour', timestamp) AS ts FROM readings UNION SELECT date_trunc('hour', timestamp) FROM incidents) WHERE ts IS NOT NULL",
     "dim_segment_build": "SELECT row_number() OVER (ORDER BY segment_id) AS new_key, segment_id, zone, road_type FROM dim_segment",
     "dim_weather_build": f"WITH {_WEATHER} SELECT row_number() OVER (ORDER BY weather) AS new_key, weather, CAST(weather IN ('Fog', 'Heavy Rain', 'Rain') AS INT) AS adverse FROM (SELECT DISTINCT label AS weather FROM wr WHERE label IS NOT NULL)",
-    "dim_incident_type_build": """SELECT row_number() OVER (ORDER BY incident_type) AS new_key, incident_type, CASE WHEN incident_type IN ('Collision', 'Pedestrian', 'Vehicle Fire') THEN 'Accident'
-  WHEN incident_type IN ('Breakdown', 'Debris', 'Flooding') THEN 'Obstruction' WHEN incident_type = 'Road Work' THEN 'Planned' ELSE 'Other' END AS new_category FROM (SELECT DISTINCT incident_type FROM dim_incident_type)""",
+    "dim_incident_type_build": """SELECT row_number() OVER (ORDER BY incident_type) AS new_key, incident_type, CASE WHEN incident_type IN ('Collision', 'Pedestrian') THEN 'Accident'
+  WHEN incident_type IN ('Breakdown', 'Debris', 'Signal Failure') THEN 'Obstruction' WHEN incident_type = 'Road Work' THEN 'Planned' ELSE 'Other' END AS new_category FROM (SELECT DISTINCT incident_type FROM dim_incident_type)""",
     "dim_date_build": """SELECT CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_key, CAST(year(d) AS INT) AS year, CAST(quarter(d) AS INT) AS quarter, 'Q' || quarter(d) AS quarter_name, CAST(month(d) AS INT) AS month,
   monthname(d) AS month_name, strftime(d, '%Y-%m') AS year_month, CAST(weekofyear(d) AS INT) AS week_of_year, CAST(isodow(d) AS INT) AS day_of_week, dayname(d) AS day_name, CAST(isodow(d) >= 6 AS INT) AS is_weekend
 FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM dim_time)""",
-    "fact_traffic_build": f"WITH {_WEATHER} SELECT segment_key, weather_key, CAST(strftime(wr.timestamp, '%Y%m%d') AS BIGINT) AS day_key, count(*) AS n, count(DISTINCT reading_id) AS n_ids FROM wr LEFT JOIN dim_segment USING (segment_id) LEFT JOIN dim_weather d ON d.weather = wr.label GROUP BY ALL",
+    "fact_traffic_build": f"""WITH {_WEATHER}, {_LOG},
+i AS (SELECT segment_id, date_trunc('hour', timestamp) AS hour_ts, count(incident_id) AS n FROM log WHERE segment_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY ALL),
+d AS (SELECT * FROM wr QUALIFY row_number() OVER (PARTITION BY reading_id ORDER BY received_at NULLS FIRST, segment_id NULLS FIRST, timestamp NULLS FIRST, {', '.join(f'{c} NULLS FIRST' for c in RANGES)}, weather NULLS FIRST) = 1),
+v AS (SELECT reading_id, segment_id, timestamp, hour_ts, label, {', '.join(f'{e} AS {c}' for c, e in _V.items())}, CASE WHEN NOT isnan(travel_time_min) THEN travel_time_min END AS travel_time_min FROM d),
+r AS (SELECT v.*, segment_key, weather_key, round(least(greatest(avg_speed_kmph / nullif(speed_limit_kmph, 0), 0), 1.5), 6) AS speed_ratio, lanes, length_km, n
+  FROM v LEFT JOIN dim_segment s ON s.segment_id = v.segment_id LEFT JOIN dim_weather w ON w.weather = v.label LEFT JOIN i ON i.segment_id = v.segment_id AND i.hour_ts = v.hour_ts)
+SELECT reading_id, CAST(strftime(timestamp, '%Y%m%d%H') AS BIGINT) AS time_key, segment_key, weather_key, vehicle_count, avg_speed_kmph, occupancy_pct, travel_time_min, congestion_index, {_LEVEL.format(c='congestion_index')} AS congestion_level,
+  CASE WHEN avg_speed_kmph IS NOT NULL THEN speed_ratio END AS speed_ratio, CASE WHEN avg_speed_kmph IS NOT NULL AND speed_ratio IS NOT NULL THEN round(least(greatest(1 - speed_ratio, 0), 1), 6) END AS delay_index,
+  round(vehicle_count / nullif(lanes, 0), 6) AS flow_per_lane, round(vehicle_count * length_km, 6) AS vehicle_km, coalesce(n, 0) AS incident_count, CAST(congestion_index >= 0.6 AS INT) AS is_congested FROM r""",
+    "fact_incident_build": f"""WITH {_LOG}, {T_SQL}, c AS (SELECT segment_key, time_key, max(congestion_index) AS congestion_index FROM t WHERE segment_key IS NOT NULL AND time_key IS NOT NULL GROUP BY ALL),
+k AS (SELECT log.*, CAST(strftime(log.timestamp, '%Y%m%d%H') AS BIGINT) AS time_key, s.segment_key, w.weather_key, y.incident_type_key FROM log LEFT JOIN dim_segment s ON s.segment_id = log.segment_id LEFT JOIN dim_weather w ON w.weather = log.weather LEFT JOIN dim_incident_type y ON y.incident_type = log.incident_type)
+SELECT incident_id, k.time_key, k.segment_key, weather_key, incident_type_key, CASE WHEN severity IS NOT NULL THEN CAST(least(greatest(severity, 1), 4) AS INT) END AS severity, vehicles_involved, lanes_blocked, casualties, duration_min, response_time_min, congestion_index,
+  CAST(severity >= 3 AS INT) AS is_major FROM k LEFT JOIN c ON c.segment_key = k.segment_key AND c.time_key = k.time_key""",
+    "clean_log": f"""WITH {_WEATHER}, d AS (SELECT * FROM wr QUALIFY row_number() OVER (PARTITION BY reading_id ORDER BY received_at NULLS FIRST, timestamp NULLS FIRST, segment_id NULLS FIRST, {', '.join(f'{c} NULLS FIRST' for c in RANGES)}) = 1),
+v AS (SELECT reading_id, segment_id, isodow(timestamp) AS dow, hour(timestamp) AS h, label, {', '.join(f'{e} AS {c}' for c, e in _V.items())} FROM d),
+m AS (SELECT segment_id, dow, h, median(congestion_index) AS med FROM v GROUP BY ALL),
+f AS (SELECT v.segment_id, coalesce(congestion_index, med) AS x FROM v JOIN m ON v.segment_id IS NOT DISTINCT FROM m.segment_id AND v.dow IS NOT DISTINCT FROM m.dow AND v.h IS NOT DISTINCT FROM m.h),
+g AS (SELECT segment_id, coalesce(x, (SELECT median(x) FROM f)) AS x FROM f), s AS (SELECT segment_id, avg(x) AS a, stddev_pop(x) AS sd FROM g GROUP BY ALL)
+SELECT (SELECT count(*) FROM readings) AS rows_in, (SELECT count(*) FROM readings) - (SELECT count(*) FROM d) AS duplicates,
+  (SELECT {' + '.join(f'count(*) FILTER (NOT isnan({c}) AND NOT {c} BETWEEN {lo:g} AND {hi:g})' for c, (lo, hi) in RANGES.items())} FROM d) AS voided,
+  (SELECT count(*) FROM v WHERE label IS NULL) AS weather_missing, (SELECT {' + '.join(f'count(*) - count({c})' for c in RANGES)} FROM v) AS imputed,
+  (SELECT count(*) FROM g JOIN s USING (segment_id) WHERE abs(x - a) / coalesce(nullif(sd, 0), 1) > 4) AS outliers, (SELECT count(*) FROM d) AS rows_out""",
     "fk_check": " UNION ALL ".join([_orphan("traffic.segment", "fact_traffic", "segment_key", "dim_segment"), _orphan("traffic.time", "fact_traffic", "time_key", "dim_time"), _orphan("traffic.weather", "fact_traffic", "weather_key", "dim_weather"), _orphan("incident.segment", "fact_incident", "segment_key", "dim_segment")]),
     "seasonal_flags": f"""WITH {T_SQL}, r AS (SELECT zone, segment_key, day_name, hour, congestion_index AS x FROM t JOIN dim_segment USING (segment_key) JOIN dim_time USING (time_key) WHERE congestion_index IS NOT NULL),
 g AS (SELECT segment_key, day_name, hour, avg(x) AS m, stddev_samp(x) AS sd FROM r GROUP BY ALL),

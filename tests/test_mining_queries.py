@@ -1,7 +1,5 @@
 """The registered mining queries do their whole job."""
 
-from datetime import datetime, timedelta
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,15 +35,12 @@ class Seen(Exception):
 
 def test_forecasts_are_fitted_at_full_size(spark, monkeypatch):
     def fit(rows, features, y, forest=(250, 16), boosting=(400, 3), **_):
-        raise Seen(forest, boosting)
+        raise Seen(forest, boosting, len(features), set(features) <= set(rows.columns))
 
-    series = [(datetime(2024, 1, 1) + timedelta(hours=i), *[float(i)] * 11) for i in range(200)]
-    lags = spark.createDataFrame(series, "timestamp timestamp, y double, " + ", ".join(f"{c} double" for c in mining._LAG_COLUMNS))
-    monkeypatch.setattr(mining, "_lags", lambda *_: lags)
     monkeypatch.setattr(mining, "fit_models", fit)
     with pytest.raises(Seen) as e:
-        mining.forecast_models(spark, "")
-    assert e.value.args == ((250, 16), (400, 3))
+        mining.forecast_models(spark, "/root/testdata/sf0.001")
+    assert e.value.args == ((250, 16), (400, 3), 18, True)
 
 
 def test_severity_uses_all_features_and_trees(spark, monkeypatch):

@@ -18,8 +18,8 @@ from strandcube.operators.mining.isolation import IsolationForest
 from strandcube.operators.mining.rules import frequent_itemsets, rules, tagged
 from strandcube.operators.mining.series import supervised, tail_split
 from strandcube.operators.warehouse import dim_date, dim_labels, dim_time, lookup_keys, orphan_counts, surrogate
-from strandcube.plans.cube import Cube, Dimension
-from strandcube.plans.measures import DERIVED, INCIDENTS, MINING, TRAFFIC, MeasureModel, month_over_month, trailing_mean_of_days
+from strandcube.plans.cube import Cube, Dimension, mean_of, percent_of, rows_of, total_of
+from strandcube.plans.measures import DERIVED, INCIDENTS, MINING, TRAFFIC, TIMED, MeasureModel
 from strandcube.sources import generator
 from strandcube.sources.io import Config, dump_tables, load_config, manifest, read_csv, read_json, read_query, require, write_bom_csv, write_csv, write_json
 from strandcube.sources.io import SEGMENTS
@@ -86,7 +86,7 @@ def _cube(spark):
     fact = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.7), (2, 1, 0.1), (2, 2, 0.3), (9, 1, 1.0)], "s int, t int, x double")
     seg = spark.createDataFrame([(1, "N", "a"), (2, "S", "b")], "s int, zone string, name string")
     tim = spark.createDataFrame([(1, 8), (2, 9)], "t int, hour int")
-    return Cube(fact, {"seg": Dimension(seg, "s", ("zone", "name")), "tim": Dimension(tim, "t", ("hour",))}, {"n": F.count(F.lit(1)), "x": F.sum("x")})
+    return Cube(fact, {"seg": Dimension(seg, "s", ("zone", "name")), "tim": Dimension(tim, "t", ("hour",))}, {"n": rows_of(), "x": total_of("x")})
 
 
 def test_cube_margins_and_routing(spark):
@@ -117,10 +117,33 @@ def test_measures(spark):
              "rule": spark.createDataFrame([(1.5,), (2.5,)], "lift double"), "cluster": spark.createDataFrame([(1,)], "c int")}
     row = MeasureModel(facts, MINING, DERIVED).query(["anomalies", "agreed_anomalies", "unexplained_anomalies", "forecast_lift_pct", "rules", "max_lift", "segments_clustered"]).first()
     assert tuple(row) == (3, 2, 1, 0.5, 2, 2.5, 1)
-    months = spark.createDataFrame([(1, 10.0), (2, 15.0), (4, 30.0)], "month_index int, x double")
-    assert {r.month_index: r.x_mom for r in month_over_month(months, "x").collect()} == {1: None, 2: 0.5, 4: None}
-    days = spark.createDataFrame([((START + timedelta(days=d)).date(), float(d)) for d in (0, 1, 6, 7)], "d date, x double")
-    assert [r.x_7d for r in trailing_mean_of_days(days, "x", "d").orderBy("d").collect()] == [0.0, 0.5, pytest.approx(7 / 3), pytest.approx(14 / 3)]
+
+
+def test_time_measures_under_any_group_and_filter(spark):
+    day = lambda m, d: datetime(2024, m, d).date()
+    rows = [("N", day(1, 30), 1, 0.2), ("N", day(2, 2), 1, 0.4), ("N", day(2, 5), 1, 0.6), ("N", day(2, 5), 0, 0.9), ("N", day(4, 1), 1, 0.5), ("S", day(1, 9), 1, 0.8)]
+    t = spark.createDataFrame(rows, "zone string, date date, hour int, congestion_index double").withColumns({"year": F.year("date"), "month": F.month("date")})
+    i = t.limit(0).select("zone", "date", "year", "month")
+    m = MeasureModel({"traffic": t, "incident": i}, TRAFFIC + INCIDENTS, DERIVED, TIMED)
+    got = {(r.zone, r.month): (r.avg_congestion_pm, r.avg_congestion_mom, r.avg_congestion_7d) for r in m.query(["avg_congestion_pm", "avg_congestion_mom", "avg_congestion_7d"], ["zone", "month"], {"hour": [1]}).collect()}
+    # February after January; March has no rows, so April has no month before; the 7 days to 5 February hold two days of values
+    assert got[("N", 2)] == (pytest.approx(0.2), pytest.approx(1.5), pytest.approx((0.2 + 0.4 + 0.6) / 3)) and got[("N", 4)][0] is None and got[("S", 1)] == (None, None, pytest.approx(0.8))
+    assert len(got) == 4  # no group but those that the filtered facts show
+    only = m.query(["avg_congestion", "avg_congestion_pm"], ["zone"], {"month": [2], "hour": [1]}).collect()
+    assert [(r.zone, round(r.avg_congestion, 6), round(r.avg_congestion_pm, 6)) for r in only] == [("N", 0.5, 0.2)]
+    assert m.query(["avg_congestion_7d"]).first()[0] == pytest.approx(0.5)
+
+
+def test_stored_cuboids_route_coarser_queries(spark, tmp_path):
+    cube = _cube(spark)
+    cube.measures = {"n": rows_of(), "avg_x": mean_of("x"), "pct": percent_of("t")}
+    want = {r.zone: tuple(r) for r in cube.roll_up(["zone"]).collect()}
+    cube.materialise(["zone", "hour"], path=str(tmp_path / "cuboid"))
+    cube.materialise(["zone", "name", "hour"])
+    cube.fact = cube.fact.limit(0)  # whatever comes now is from a cuboid
+    assert {r.zone: tuple(r) for r in cube.roll_up(["zone"]).collect()} == want and cube.roll_up(["name"], ["n"]).count() == 2
+    with pytest.raises(ValueError):
+        Cube(cube.fact, {}, {"n": F.count(F.lit(1))}).materialise([])
 
 
 def test_itemsets_and_rules(spark):
@@ -197,17 +220,30 @@ def test_io(spark, tmp_path):
     assert [r.table for r in manifest(spark, {"b": 1, "a": 2}, "now").collect()] == ["a", "b"]
 
 
-def test_pipeline_on_generated_feed(spark, tmp_path):
+def test_pipeline_on_generated_feed(spark, tmp_path, monkeypatch):
     from strandcube import cli
-
-    cfg = Config(data_dir=str(tmp_path / "in"), out_dir=str(tmp_path / "out"), n_segments=4, n_days=10)
+    from strandcube.queries import mining
+
+    # the full sizes of the models are tested in test_mining_queries.py
+    for name, value in (("STARTS", 2), ("REFIT_STARTS", 2), ("K_RANGE", range(2, 4))):
+        monkeypatch.setattr(mining, name, value)
+    small = {"severity_models": {"trees": 3}, "severity_importances": {"trees": 3}, "forecast_models": {"forest": (3, 4), "boosting": (3, 2)}}
+    for name, sizes in small.items():
+        full = mining.QUERIES[name]
+        monkeypatch.setitem(mining.QUERIES, name, lambda s, d, full=full, sizes=sizes: full(s, d, **sizes))
+    monkeypatch.setattr(mining, "HORIZON", 24)
+    cfg = Config(data_dir=str(tmp_path / "in"), out_dir=str(tmp_path / "out"), n_segments=8, n_days=40)
     for s in cli.STAGES:
         getattr(cli, s)(spark, cfg)
-    base = spark.read.parquet(f"{cfg.out_dir}/base")
-    assert base.count() == 4 * 240 and base.where("avg_speed_kmph IS NULL OR weather IS NULL").count() == 0
-    total = spark.read.parquet(f"{cfg.out_dir}/agg_zone_month").agg(F.sum("n_obs")).first()[0]
-    assert total == spark.read.parquet(f"{cfg.out_dir}/fact_traffic").count()
-    assert "fact_traffic" in (tmp_path / "out" / "findings.md").read_text()
+    read = lambda n: spark.read.parquet(f"{cfg.out_dir}/{n}")
+    base = read("base")
+    assert base.count() == 8 * 960 and base.where("avg_speed_kmph IS NULL OR weather IS NULL").count() == 0
+    assert read("agg_zone_month.parquet").agg(F.sum("n")).first()[0] == read("fact_traffic.parquet").count() == 8 * 960
+    inc = read("fact_incident.parquet")
+    assert inc.count() == read("incident_log").count() > 20 and inc.where("segment_key IS NULL OR incident_type_key IS NULL OR congestion_index IS NULL").count() == 0
+    assert {p.name for p in (tmp_path / "out" / "olap").iterdir()} == set(cli.OLAP) and {p.name for p in (tmp_path / "out" / "mining").iterdir()} == set(cli.MINING)
+    text = (tmp_path / "out" / "findings.md").read_text()
+    assert "fact_traffic" in text and "## severity_models" in text and read_json(str(tmp_path / "out" / "preprocessing_report.json"))["duplicates"] > 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
