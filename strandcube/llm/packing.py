@@ -2,8 +2,8 @@
 
 The cost of a text of n tokens is linear plus quadratic in n, as attention is.
 Texts in descending order go to the container of lowest cost that still has room
-for them; the number of containers starts at the least that could do and grows
-only when nothing has room. Texts are packed within buckets of a bounded number
+for them, at first among the containers that they would nearly fill; the number of
+containers starts at the least that could do and grows only when nothing has room. Texts are packed within buckets of a bounded number
 of texts, so containers are made in parallel and each bucket wastes at most a
 little.
 """
@@ -62,8 +62,9 @@ class _Room:
         heapq.heappush(self.heaps.setdefault(room, []), (cost, number))
         self._update(room)
 
-    def cheapest(self, n: int) -> tuple[float, int] | None:
-        lo, hi, found = n + self.size, 2 * self.size, None
+    def cheapest(self, n: int, slack: int | None = None) -> tuple[float, int] | None:
+        """The cheapest container with room for ``n``; with ``slack``, of those that would then have at most so much left."""
+        lo, hi, found = n + self.size, 2 * self.size if slack is None else min(n + slack + 1, self.size) + self.size, None
         while lo < hi:
             if lo & 1:
                 x = self.best[lo]
@@ -84,11 +85,16 @@ class _Room:
         self._update(room)
 
 
+#: Share of the capacity below which a container counts as nearly full.
+SLACK = 1 / 12
+
+
 def assign(sizes: np.ndarray, capacity: int, cost: Cost, containers: int | None = None) -> np.ndarray:
-    """Container number of each size (all <= capacity, sorted falling): the cheapest open one with room.
+    """Container number of each size (all <= capacity, sorted falling): the cheapest open one with room, first of those it would nearly fill.
 
     ``containers`` are open from the start (by default the least number that could hold everything).
     """
+    slack = int(capacity * SLACK)
     total = int(sizes.sum())
     k = containers if containers is not None else least_containers(sizes, capacity)
     room = _Room(capacity)
@@ -98,7 +104,7 @@ def assign(sizes: np.ndarray, capacity: int, cost: Cost, containers: int | None
         room._update(capacity)
     out = np.empty(len(sizes), np.int64)
     for i, n in enumerate(sizes.tolist()):
-        got = room.cheapest(n) if k else None
+        got = (room.cheapest(n, slack) or room.cheapest(n)) if k else None
         if got is None:
             spent, c = 0.0, k
             k += 1

@@ -160,6 +160,16 @@ def test_assignment_fits(sizes):
     assert load.max() <= 100 and (not len(s) or got.max() + 1 >= least_containers(s, 100))
 
 
+def test_little_room_is_left():
+    """Sizes like those of the texts fill small and large containers nearly whole."""
+    rng = np.random.default_rng(14)
+    sizes = np.clip(rng.lognormal(5.0, 0.9, 16_000), 1, None).astype(np.int64)
+    for capacity in (256, 1024, 8192):
+        s = np.sort(sizes[sizes <= capacity])[::-1]
+        got = assign(s, capacity, Cost())
+        assert got.max() + 1 <= 1.01 * least_containers(s, capacity)
+
+
 def test_least_containers_is_a_bound():
     rng = np.random.default_rng(6)
     for _ in range(200):
