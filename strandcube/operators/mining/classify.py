@@ -31,7 +31,7 @@ def classifier(name: str, label: str, weight: str | None, n_rows: int, trees: in
     if name == "decision_tree":
         return DecisionTreeClassifier(**common, **w, maxDepth=8, minInstancesPerNode=25)
     if name == "random_forest":
-        return RandomForestClassifier(**common, **w, numTrees=trees, maxDepth=14, minInstancesPerNode=5, seed=42)
+        return RandomForestClassifier(**common, **w, numTrees=trees, maxDepth=14, minInstancesPerNode=5, maxMemoryInMB=1024, seed=42)
     if name == "naive_bayes":
         return NaiveBayes(**common, modelType="gaussian")
     if name == "logistic":
@@ -51,7 +51,7 @@ def feature_names(model: PipelineModel, rows: DataFrame) -> dict[int, str]:
     """Names of the places of the feature vector, as ``column`` or ``column=value``."""
     attrs = model.transform(rows.limit(1)).schema["_x"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
-    stages = {type(x).__name__: x for x in model.stages}
+    stages = {type(x).__name__: x for x in model.stages[0].stages}  # those of the preparation
     numeric = [c.removeprefix("_n_") for c in stages["ImputerModel"].getOutputCols()]
     out = {}
     for i, n in names.items():

@@ -45,7 +45,7 @@ def fit_models(train: DataFrame, features: Sequence[str], y: str, ridge_alpha: f
     reg = ridge_alpha * float(row["s"] or 1.0) / max(row["n"], 1)
     kinds = {
         "ridge": LinearRegression(featuresCol="_x", labelCol=y, regParam=reg, elasticNetParam=0.0, standardization=False),
-        "random_forest": RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=forest[0], maxDepth=forest[1], minInstancesPerNode=3, featureSubsetStrategy="all", seed=seed),
+        "random_forest": RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=forest[0], maxDepth=forest[1], minInstancesPerNode=3, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed),
         "gradient_boosting": GBTRegressor(featuresCol="_x", labelCol=y, maxIter=boosting[0], maxDepth=boosting[1], stepSize=0.05, seed=seed),
     }
     return {n: kinds[n].fit(rows) for n in names}

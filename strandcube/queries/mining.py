@@ -489,6 +489,13 @@ SELECT round(a, 8) AS forecast_mae, round(b, 8) AS persistence_mae, round((b - a
 r AS (SELECT *, (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0) / count(*) OVER () AS q FROM c), th AS (SELECT quantile_cont(k, 0.5) AS k5, quantile_cont(k, 0.6) AS k6, quantile_cont(i, 0.75) AS i75 FROM c)
 SELECT zone, segments, CASE WHEN q >= 0.75 AND k >= k5 THEN 'Chronic peak-hour bottleneck' WHEN q >= 0.75 THEN 'All-day saturated corridor' WHEN q >= 0.4 AND k >= k6 THEN 'Commuter-driven corridor' WHEN i >= i75 THEN 'Incident-prone but free-flowing' ELSE 'Stable low-stress segment' END AS label FROM r, th""",
     "dbscan_neighbours": f"WITH {_XY} SELECT a.segment_id, count(*) AS n_neighbours FROM xy a, xy b WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4 GROUP BY ALL",
+    "dbscan_hotspots": f"""WITH RECURSIVE {_PROFILES}, b AS (SELECT segment_id, latitude AS x, longitude AS y, mean_congestion AS v FROM p JOIN dim_segment USING (segment_id) WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND mean_congestion IS NOT NULL),
+q AS (SELECT segment_id, (x - (SELECT avg(x) FROM b)) / (SELECT stddev_pop(x) FROM b) AS x, (y - (SELECT avg(y) FROM b)) / (SELECT stddev_pop(y) FROM b) AS y, (v - (SELECT avg(v) FROM b)) / (SELECT stddev_pop(v) FROM b) AS v FROM b),
+pr AS (SELECT i.segment_id AS a, j.segment_id AS b FROM q i, q j WHERE (i.x - j.x) ** 2 + (i.y - j.y) ** 2 + (i.v - j.v) ** 2 <= 0.65 * 0.65), cn AS (SELECT a, count(*) AS n FROM pr GROUP BY ALL), co AS (SELECT a FROM cn WHERE n >= 3),
+re AS (SELECT a, a AS c FROM co UNION SELECT pr.b, re.c FROM re JOIN pr USING (a) WHERE pr.b IN (SELECT a FROM co)),
+lb AS (SELECT a, min(c) AS c FROM re GROUP BY ALL), nu AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INT) AS cluster FROM (SELECT DISTINCT c FROM lb)),
+bo AS (SELECT pr.a, min(lb.c) AS c FROM pr JOIN lb ON lb.a = pr.b GROUP BY ALL)
+SELECT q.segment_id, cn.n AS n_neighbours, CAST(cn.n >= 3 AS INT) AS is_core, coalesce(nu.cluster, -1) AS cluster FROM q JOIN cn ON cn.a = q.segment_id LEFT JOIN bo ON bo.a = q.segment_id LEFT JOIN nu USING (c)""",
     "silhouette_zones": f"""WITH {_XY}, k AS (SELECT * FROM xy WHERE zone IS NOT NULL), n AS (SELECT zone, count(*) AS n FROM k GROUP BY ALL),
 d AS (SELECT a.segment_id, a.zone AS own, b.zone AS other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS s FROM k a, k b GROUP BY ALL),
 m AS (SELECT segment_id, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d JOIN n ON n.zone = d.other GROUP BY ALL)

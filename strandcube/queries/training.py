@@ -38,6 +38,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled_cells(p1_filled(spark, sf_dir), "reading_id", ["weather", "avg_speed_kmph", "vehicle_count", "occupancy_pct"])
 
 
+def p1_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field: rows, filled values, values still missing, and filled ones out of the possible range or vocabulary."""
+    filled = p1_filled(spark, sf_dir)
+    labels = vocabulary(table(spark, sf_dir, "dim_weather"), "weather")
+    cells = [F.struct(F.lit(f.name).alias("field_name"), F.col(f"{f.name}_filled").alias("mark"), F.col(f.name).isNull().alias("gap"), (~F.col(f.name).between(f.lo, f.hi)).alias("wild")) for f in (SPEED, COUNT, OCCUPANCY)]
+    cells.append(F.struct(F.lit("weather").alias("field_name"), F.col("weather_filled").alias("mark"), F.col("weather").isNull().alias("gap"), (~F.col("weather").isin(labels)).alias("wild")))
+    total = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    rows = filled.select(F.inline(F.array(*cells)))
+    return rows.groupBy("field_name").agg(F.count(F.lit(1)).alias("n_rows"), total(F.col("mark")).alias("n_filled"), total(F.col("gap")).alias("n_missing"), total((F.col("mark") == 1) & F.col("wild")).alias("n_wild"))
+
+
 def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Implausible values with the kind of fault and its probability."""
     readings = table(spark, sf_dir, "readings")
@@ -100,7 +111,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where(F.col("n_rows_1d") == 0).select("segment_key", _day_key("day"))
 
 
-QUERIES = {"p1_filled": p1_filled, "p1_found": p1_found, "p2_flags": p2_flags, "p2_found": p2_found, "p2_certain": p2_certain, "p3_found": p3_found, "p3_report": p3_report, "p5_trailing": p5_trailing, "p5_found": p5_found}
+QUERIES = {"p1_filled": p1_filled, "p1_found": p1_found, "p1_limits": p1_limits, "p2_flags": p2_flags, "p2_found": p2_found, "p2_certain": p2_certain, "p3_found": p3_found, "p3_report": p3_report, "p5_trailing": p5_trailing, "p5_found": p5_found}
 
 _P3 = """
 SELECT '{fact}' AS fact_table, '{key}' AS key_column, CAST(f.{id} AS BIGINT) AS fact_key, f.loaded_at AS loaded
@@ -138,6 +149,10 @@ SELECT reading_id, '{f}' AS field_name, min(kind) AS kind FROM (
 
 SQL = {
     "p2_certain": " UNION ALL ".join(_P2.format(f=x.name, lo=x.lo, hi=x.hi) for x in (SPEED, OCCUPANCY, COUNT, CONGESTION)),
+    "p1_limits": " UNION ALL ".join(
+        [f"SELECT '{x.name}' AS field_name, count(*) AS n_rows, count(*) FILTER ({x.name} IS NULL OR isnan({x.name})) AS n_filled, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_wild FROM readings" for x in (SPEED, COUNT, OCCUPANCY)]
+        + ["""SELECT 'weather', count(*), count(*) FILTER (weather IS NULL OR lower(regexp_replace(weather, '[^A-Za-z]', '', 'g')) IN ('', 'na', 'nan', 'null', 'none', 'unknown', 'notreported', 'tbc')), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM readings"""]
+    ),
     "p1_found": """
 SELECT DISTINCT reading_id, field_name FROM (
   SELECT reading_id, 'avg_speed_kmph' AS field_name FROM readings WHERE avg_speed_kmph IS NULL OR isnan(avg_speed_kmph)
