@@ -25,8 +25,6 @@ MAX_CELLS = 4_000_000
 MAX_PAIRS = 2_000_000
 #: Items of a record beyond which it is cut into blocks of about so many.
 LARGE = 256
-#: Ids of such records up to this number are broadcast.
-BROADCAST_RECORDS = 500_000
 
 
 def heavy_pairs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,10 +123,22 @@ def count_blocks(left: Sequence[Sequence[str]], right: Sequence[Sequence[str]],
         yield _frame(a[ok], b[ok], np.ones(len(a[ok]), np.int64))
 
 
-def occurrences(df: DataFrame, record: str, items: str) -> DataFrame:
-    """``_id, _item``: each item of a record once, however many rows or repeats it stands in; NULL records are left out."""
-    rows = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.explode(F.array_distinct(items)).alias("_item"))
-    return rows.where(F.col("_item").isNotNull()).distinct()
+def baskets(df: DataFrame, record: str, items: str) -> DataFrame:
+    """``_id, _items``: the sorted distinct non-null items of each record; rows of one record are united, NULL records left out.
+
+    Items are dropped into sets before the shuffle, so a record of many rows moves
+    as one set per task.
+    """
+    rows = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_id"), F.explode_outer(F.array_distinct(items)).alias("_item"))
+    return rows.groupBy("_id").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
+
+
+def item_blocks(records: DataFrame) -> DataFrame:
+    """``_items, _others, _same``: each pair of blocks of about ``LARGE`` items of a record; pairs are dealt to tasks by (record, block)."""
+    cuts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_items) - 1) div {LARGE}").cast("int")), lambda i: F.slice("_items", i * LARGE + 1, F.lit(LARGE)))
+    blocks = cut(records.select("_id", F.posexplode(cuts).alias("_b", "_items")))
+    others = blocks.select("_id", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"), F.col("_items").alias("_others"))
+    return blocks.withColumnRenamed("_b", "_i").join(others, ["_id", "_i"]).select("_items", "_others", (F.col("_i") == F.col("_j")).alias("_same"))
 
 
 def item_pairs(df: DataFrame, record: str, items: str, heavy_share: float = 1 / 64, max_heavy: int = 1024, min_count: int = 1) -> DataFrame:
@@ -144,10 +154,9 @@ def item_pairs(df: DataFrame, record: str, items: str, heavy_share: float = 1 /
     Records of more than ``LARGE`` items are counted in pairs of blocks of their
     items, so that no task holds all of a record.
     """
-    rows = cut(occurrences(df, record, items))
-    total = df.agg(F.count_distinct(record)).first()[0]
-    counts = cut(rows.groupBy(F.col("_item").alias("item")).agg(F.count(F.lit(1)).alias("n")))
-    large = cut(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE))
+    records = cut(baskets(df, record, items))
+    total = records.count()
+    counts = cut(records.select(F.explode("_items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     floor = max(heavy_share * total, 1)
     top = counts.where(F.col("n") >= floor).orderBy(F.desc("n"), "item").limit(max_heavy).collect()
     heavy = {r["item"]: i for i, r in enumerate(sorted(top, key=lambda r: r["item"]))}
@@ -161,15 +170,11 @@ def item_pairs(df: DataFrame, record: str, items: str, heavy_share: float = 1 /
             yield from count_blocks(pdf["_items"].tolist(), pdf["_others"].tolist(), pdf["_same"].tolist())
 
     schema = "item_a string, item_b string, n_ab bigint"
-    plain = rows if not large._counted else rows.join(small(large.select("_id"), BROADCAST_RECORDS), "_id", "left_anti")
-    gathered = plain.groupBy("_id").agg(F.collect_list("_item").alias("_items")).where(F.size("_items") > 1)
-    sums = gathered.select("_items").mapInPandas(count, schema)
-    if large._counted:
-        cut_up = rows.join(small(large, BROADCAST_RECORDS), "_id").withColumn("_b", F.pmod(F.xxhash64("_item"), F.ceil(F.col("_n") / LARGE)))
-        blocks = cut(cut_up.groupBy("_id", "_b").agg(F.collect_list("_item").alias("_items")))
-        others = blocks.select("_id", F.col("_b").alias("_c"), F.col("_items").alias("_others"))
-        met = blocks.join(others, "_id").where("_b <= _c").select("_items", "_others", (F.col("_b") == F.col("_c")).alias("_same"))
-        sums = sums.unionByName(met.repartition("_items", "_others").mapInPandas(across, schema))
+    size = F.size("_items")
+    sums = records.where((size > 1) & (size <= LARGE)).select("_items").mapInPandas(count, schema)
+    large = records.where(size > LARGE)
+    if large.limit(1).count():
+        sums = sums.unionByName(item_blocks(large).mapInPandas(across, schema))
     pairs = sums.groupBy("item_a", "item_b").agg(F.sum("n_ab").alias("n_ab")).where(F.col("n_ab") >= min_count)
     one = lambda x: small(counts.select(F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")), BROADCAST_ITEMS)
     scored = pairs.join(one("a"), "item_a").join(one("b"), "item_b").withColumn("n_records", F.lit(total).cast("bigint"))
