@@ -10,6 +10,8 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandcube.session import packed
+
 MODELS = ("decision_tree", "random_forest", "naive_bayes", "logistic")
 
 
@@ -41,6 +43,7 @@ def classifier(name: str, label: str, weight: str | None, n_rows: int, trees: in
 
 def fit_classifiers(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str = "weight", names: Sequence[str] = MODELS, trees: int = 300) -> dict[str, PipelineModel]:
     """One fitted pipeline per name; the preparation is fitted once."""
+    train = packed(train)
     prep = Pipeline(stages=prepare(numeric, categorical)).fit(train)
     rows = prep.transform(train).persist()
     n = rows.count()

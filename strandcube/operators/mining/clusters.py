@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandcube.session import cut
+from strandcube.session import Scratch, cut
 
 #: Points up to this number are held on every worker for exact silhouettes (8 bytes per number).
 MAX_POINTS = 50_000
@@ -199,28 +199,38 @@ def neighbour_pairs(df: DataFrame, key: str, columns: Sequence[str], eps: float)
     return a.join(b, [f"g{i}" for i in range(len(columns))]).where(d2 <= eps * eps).select("a", "b")
 
 
+def _components(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` (k, c) with the smallest key of each component in c."""
+    scratch = Scratch(links.sparkSession)
+    try:
+        while True:
+            ends = links.join(labels.select(F.col("k").alias("a"), F.col("c").alias("_c")), "a").join(labels.select(F.col("k").alias("b"), F.col("c").alias("_p")), "b")
+            hooks = scratch.write(ends.where("_p < _c").groupBy("_c").agg(F.min("_p").alias("_p")))
+            if hooks.isEmpty():
+                return cut(labels)
+            further = hooks.select(F.col("_c").alias("_p"), F.col("_p").alias("_q"))
+            hooks = hooks.join(further, "_p", "left").select(F.col("_c").alias("c"), F.coalesce("_q", "_p").alias("_new"))
+            moved = scratch.write(labels.join(hooks, "c", "left").select("k", F.coalesce("_new", "c").alias("c")))
+            ahead = moved.select(F.col("k").alias("c"), F.col("c").alias("_c"))
+            labels = scratch.write(moved.join(ahead, "c").select("k", F.col("_c").alias("c")))
+    finally:
+        scratch.remove()
+
+
 def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float, min_points: int) -> DataFrame:
     """``key, n_neighbours, is_core, cluster``; noise has cluster -1, a border point the smallest cluster it touches.
 
-    Clusters are connected components of core points, found by rounds of
-    neighbour-minimum with pointer jumping until nothing moves (about the log of
-    the longest chain); a cluster's number is the rank of its smallest key. NULL
-    coordinates are noise.
+    Clusters are connected components of core points: in rounds, every component
+    hooks onto the smallest one it touches and every point follows its label's
+    label, which halves long chains, until none touches a smaller one. A cluster's number is the rank of its smallest key.
+    NULL coordinates are noise.
     """
     points = df.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
     pairs = cut(neighbour_pairs(points, key, columns, eps))
     counts = cut(pairs.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("n")))
     core = counts.where(F.col("n") >= min_points).select("k")
     links = cut(pairs.join(core.withColumnRenamed("k", "a"), "a", "left_semi").join(core.withColumnRenamed("k", "b"), "b", "left_semi"))
-    labels = cut(core.select("k", F.col("k").alias("c")))
-    while True:
-        step = links.join(labels.select(F.col("k").alias("b"), "c"), "b").groupBy(F.col("a").alias("k")).agg(F.min("c").alias("c"))
-        was = labels.select("k", F.col("c").alias("_was"))
-        jumped = step.alias("s").join(labels.alias("l"), F.col("s.c") == F.col("l.k")).select(F.col("s.k").alias("k"), F.least("s.c", "l.c").alias("c"))
-        new = cut(jumped.join(was, "k").withColumn("_moved", F.col("c") != F.col("_was")).drop("_was"))
-        labels = new.drop("_moved")
-        if not new.where("_moved").limit(1).count():
-            break
+    labels = _components(links, cut(core.select("k", F.col("k").alias("c"))))
     border = pairs.join(labels.select(F.col("k").alias("b"), "c"), "b").groupBy(F.col("a").alias("k")).agg(F.min("c").alias("c"))
     # one row per cluster, so that one task can number them
     numbers = labels.select("c").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("c")) - 1)

@@ -9,6 +9,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandcube.session import packed
+
 LAGS = (1, 2, 3, 24, 168)
 
 
@@ -40,7 +42,7 @@ def tail_split(df: DataFrame, ts: str, horizon: int) -> DataFrame:
 
 def fit_models(train: DataFrame, features: Sequence[str], y: str, ridge_alpha: float = 1.0, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3), seed: int = 42, names: Sequence[str] = ("ridge", "random_forest", "gradient_boosting")) -> dict:
     """Ridge, random forest and gradient boosting (those named) on assembled features ``_x``."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train).persist()
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(packed(train)).persist()
     row = rows.agg(F.stddev_pop(y).alias("s"), F.count(F.lit(1)).alias("n")).first()
     reg = ridge_alpha * float(row["s"] or 1.0) / max(row["n"], 1)
     kinds = {

@@ -20,7 +20,7 @@ from strandcube.operators.mining.series import fit_models, predict, supervised,
 from strandcube.plans.measures import DERIVED, MINING, MeasureModel
 from strandcube.queries.common import T_SQL, davg, incident_cube, traffic, traffic_cube
 from strandcube.queries.prepare import _bands
-from strandcube.session import cut
+from strandcube.session import cut, kept
 from strandcube.sources import generator
 from strandcube.sources.io import Config
 from strandcube.sources.tables import table
@@ -182,7 +182,10 @@ def _sweep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], int, float, float]:
     """Profiles with the cluster of the refit at the k of best mean silhouette (ties: the smaller k), and k, inertia and silhouette."""
-    z, cols, tried = _sweep(spark, sf_dir)
+    return kept(spark, sf_dir, "clusters", lambda: _refit(*kept(spark, sf_dir, "sweep", lambda: _sweep(spark, sf_dir))))
+
+
+def _refit(z: DataFrame, cols: list[str], tried: dict) -> tuple[DataFrame, list[str], int, float, float]:
     k = min(tried, key=lambda k: (-tried[k][2], k))
     inertia, centres, score = kmeans_sweep(z, cols, {k: REFIT_STARTS})[k]
     return cut(nearest_centre(z, cols, centres)), cols, k, inertia, score
@@ -196,7 +199,7 @@ def kmeans_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> list[tuple[int, float, float, float, float]]:
-    z, cols, tried = _sweep(spark, sf_dir)
+    z, cols, tried = kept(spark, sf_dir, "sweep", lambda: _sweep(spark, sf_dir))
     out = []
     for k, (inertia, centres, score) in sorted(tried.items()):
         q = cluster_indices(nearest_centre(z, cols, centres), cols, "cluster")
@@ -252,13 +255,18 @@ def _severity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _severity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stratified_holdout(_severity_rows(spark, sf_dir), "severity", "incident_key")
-    return balanced_weights(to_label(rows, "severity"), "severity").persist()
+    return cut(balanced_weights(to_label(rows, "severity"), "severity"))
+
+
+def _severity_fit(spark: SparkSession, sf_dir: str, trees: int) -> tuple[DataFrame, dict]:
+    """The split rows and the four classifiers fitted to the training part."""
+    rows = _severity_split(spark, sf_dir)
+    return rows, fit_classifiers(rows.where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees)
 
 
 def severity_models(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
     """Hold-out accuracy and macro averages of four classifiers of severity, with the best by macro-F1."""
-    rows = _severity_split(spark, sf_dir)
-    models = fit_classifiers(rows.where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees)
+    rows, models = kept(spark, sf_dir, f"severity {trees}", lambda: _severity_fit(spark, sf_dir, trees))
     out = None
     for name, m in models.items():
         one = summary(confusion_matrix(m.transform(rows.where("is_test = 1")), "label", "prediction")).select(F.lit(name).alias("model"), "accuracy", "macro_precision", "macro_recall", "macro_f1")
@@ -268,15 +276,14 @@ def severity_models(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataF
 
 def severity_cv(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
     """Mean and deviation of each classifier's accuracy over five stratified folds of the training part."""
-    got = cross_validate(_severity_split(spark, sf_dir).where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees)
+    got = kept(spark, sf_dir, f"folds {trees}", lambda: cross_validate(_severity_split(spark, sf_dir).where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees))
     return spark.createDataFrame(got, "model string, cv_accuracy_mean double, cv_accuracy_std double")
 
 
 def severity_importances(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
     """The 15 strongest features of the random forest."""
-    train = _severity_split(spark, sf_dir).where("is_test = 0")
-    model = fit_classifiers(train, NUMERIC, CATEGORICAL, "label", names=("random_forest",), trees=trees)["random_forest"]
-    return spark.createDataFrame(feature_importances(model, train), "feature string, importance double")
+    rows, models = kept(spark, sf_dir, f"severity {trees}", lambda: _severity_fit(spark, sf_dir, trees))
+    return spark.createDataFrame(feature_importances(models["random_forest"], rows), "feature string, importance double")
 
 
 def severity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,9 +307,13 @@ def _forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forecasts(spark: SparkSession, sf_dir: str, **sizes: tuple[int, int]) -> DataFrame:
-    rows = _forecast_rows(spark, sf_dir).persist()
-    models = fit_models(rows.where("is_test = 0"), FORECAST_FEATURES, "y", **sizes)
-    return predict(models, rows.where("is_test = 1"), FORECAST_FEATURES)
+    """The held-out rows with the predictions of all models."""
+    def fit() -> DataFrame:
+        rows = cut(_forecast_rows(spark, sf_dir))
+        models = fit_models(rows.where("is_test = 0"), FORECAST_FEATURES, "y", **sizes)
+        return cut(predict(models, rows.where("is_test = 1"), FORECAST_FEATURES).drop("_x"))
+
+    return kept(spark, sf_dir, f"forecasts {sizes}", fit)
 
 
 PREDICTED = {"persistence": "lag_1", "seasonal_naive": "lag_168", "ridge": "pred_ridge", "random_forest": "pred_random_forest", "gradient_boosting": "pred_gradient_boosting"}
@@ -327,11 +338,15 @@ def _forecast_scores(out: DataFrame) -> DataFrame:
 
 
 def forecast_scores(spark: SparkSession, sf_dir: str, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3)) -> DataFrame:
-    return _forecast_scores(_forecasts(spark, sf_dir, forest=forest, boosting=boosting).persist())
+    return _forecast_scores(_forecasts(spark, sf_dir, forest=forest, boosting=boosting))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traffic rows with isolation score and flag (lowest 1 %), seasonal z and flag, and their agreement."""
+    return kept(spark, sf_dir, "anomalies", lambda: _score(spark, sf_dir))
+
+
+def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["congestion_index", "avg_speed_kmph", "occupancy_pct", "travel_time_min", "vehicle_count"]
     rows = traffic_cube(spark, sf_dir).star(["zone", "road_type", "segment_id", "timestamp", "day_name", "hour"])
     rows = rows.withColumns({c: present(F.col(c)) for c in cols}).dropna(subset=cols)

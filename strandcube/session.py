@@ -5,13 +5,20 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 def build_session(app: str = "strandcube", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume: UTC, AQE with skew handling, Arrow."""
     b = SparkSession.builder.appName(app)
@@ -80,6 +87,27 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Tables written into the shared checkpoint folder and removed together; for rounds, whose plans would grow through :func:`cut`."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+        self.tables = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.base}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``max_rows`` rows, else as it is.
 
@@ -90,6 +118,40 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if (df.limit(max_rows + 1).count() if rows is None else rows) <= max_rows else df
 
 
+#: Seconds for which :func:`kept` holds a result.
+KEEP_SECONDS = 600.0
+_KEPT: dict[tuple, tuple[float, object]] = {}
+
+
+def kept(spark: SparkSession, folder: str, name: str, make: Callable[[], T]) -> T:
+    """The result of ``make``, or the one it gave for the same tables within the last ``KEEP_SECONDS``.
+
+    For models and what they predict, which several queries read. A result is known
+    by the session, the files of the folder with their sizes and times, and ``name``.
+    Frames among it should come from :func:`cut`, so that they lie in the shared
+    folder.
+    """
+    files = tuple(sorted((str(p), p.stat().st_size, p.stat().st_mtime_ns) for p in Path(folder).rglob("*.parquet"))) if Path(folder).is_dir() else ()
+    key = (spark.sparkContext.applicationId, folder, name, files)
+    found = _KEPT.get(key)
+    if not files or found is None or time.monotonic() - found[0] > KEEP_SECONDS:
+        found = (time.monotonic(), make())
+        for old in [k for k, (at, _) in _KEPT.items() if time.monotonic() - at > KEEP_SECONDS]:
+            del _KEPT[old]
+        _KEPT[key] = found
+    return found[1]
+
+
+#: Rows of training data per partition: fits run hundreds of small jobs, which cost more than their rows where those are few.
+TRAIN_ROWS = 20_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` computed once (see :func:`cut`) in as few partitions as hold about ``TRAIN_ROWS`` rows each."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out._counted // TRAIN_ROWS)))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
