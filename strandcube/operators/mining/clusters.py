@@ -185,7 +185,7 @@ def cluster_indices(df: DataFrame, columns: Sequence[str], cluster: str) -> dict
     s = got["s"].to_numpy(float)
     db = float(((s[:, None] + s[None]) / d).max(1).mean()) if k > 1 else float("nan")
     ch = between / (k - 1) / (inertia / (total - k)) if k > 1 and total > k and inertia else float("nan")
-    return {"inertia": inertia, "davies_bouldin": db, "calinski_harabasz": ch}
+    return {"inertia": inertia, "davies_bouldin": float(db), "calinski_harabasz": float(ch)}
 
 
 def neighbour_pairs(df: DataFrame, key: str, columns: Sequence[str], eps: float) -> DataFrame:
