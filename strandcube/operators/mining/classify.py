@@ -11,6 +11,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandcube.operators.mining.trees import GROW_ROWS, fit_forest
 from strandcube.session import packed
 
 MODELS = ("decision_tree", "random_forest", "naive_bayes", "logistic")
@@ -43,17 +44,38 @@ def classifier(name: str, label: str, weight: str | None, n_rows: int, trees: in
 
 
 def fit_classifiers(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, weight: str = "weight", names: Sequence[str] = MODELS, trees: int = 300) -> dict[str, PipelineModel]:
-    """One fitted pipeline per name; the preparation is fitted once."""
+    """One fitted pipeline per name; the preparation is fitted once and the models side by side.
+
+    A forest is grown by :func:`trees.fit_forest`, by MLlib where the rows are more
+    than a task can hold or the weights differ within a class.
+    """
     train = packed(train)
     prep = Pipeline(stages=prepare(numeric, categorical)).fit(train)
     rows = prep.transform(train).persist()
     n = rows.count()
-    return {m: PipelineModel(stages=[prep, classifier(m, label, weight, n, trees).fit(rows)]) for m in names}
+
+    def fit(name: str):
+        by_class = _class_weights(rows, label, weight) if name == "random_forest" and n <= GROW_ROWS else None
+        return fit_forest(rows, label, trees, 14, 5, weights=by_class) if by_class else classifier(name, label, weight, n, trees).fit(rows)
+
+    with ThreadPoolExecutor(len(names)) as pool:
+        out = {m: PipelineModel(stages=[prep, found]) for m, found in zip(names, pool.map(fit, names), strict=True)}
+    rows.unpersist()
+    return out
+
+
+def _class_weights(rows: DataFrame, label: str, weight: str) -> list[float] | None:
+    """The weight of each of the classes 0, 1, ...; None if there is no one weight per class."""
+    got = rows.groupBy(label).agg(F.min(weight).alias("lo"), F.max(weight).alias("hi")).collect()
+    if not got or any(r[label] is None or r[label] < 0 or r[label] % 1 or r.lo != r.hi for r in got):
+        return None
+    by_class = {int(r[label]): float(r.lo) for r in got}
+    return [by_class.get(k, 1.0) for k in range(max(by_class) + 1)] if max(by_class) < 64 else None
 
 
 def feature_names(model: PipelineModel, rows: DataFrame) -> dict[int, str]:
     """Names of the places of the feature vector, as ``column`` or ``column=value``."""
-    attrs = model.transform(rows.limit(1)).schema["_x"].metadata["ml_attr"]["attrs"]
+    attrs = model.stages[0].transform(rows.limit(1)).schema["_x"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
     stages = {type(x).__name__: x for x in model.stages[0].stages}  # those of the preparation
     numeric = [c.removeprefix("_n_") for c in stages["ImputerModel"].getOutputCols()]

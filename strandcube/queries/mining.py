@@ -269,7 +269,7 @@ def severity_models(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataF
     rows, models = kept(spark, sf_dir, f"severity {trees}", lambda: _severity_fit(spark, sf_dir, trees))
     out = None
     for name, m in models.items():
-        one = summary(confusion_matrix(m.transform(rows.where("is_test = 1")), "label", "prediction")).select(F.lit(name).alias("model"), "accuracy", "macro_precision", "macro_recall", "macro_f1")
+        one = summary(cut(confusion_matrix(m.transform(rows.where("is_test = 1")), "label", "prediction"))).select(F.lit(name).alias("model"), "accuracy", "macro_precision", "macro_recall", "macro_f1")
         out = one if out is None else out.unionByName(one)
     return mark_best(out, "macro_f1")
 
