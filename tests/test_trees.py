@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from strandcube.operators.mining import classify, trees
 from strandcube.operators.mining.classify import fit_classifiers
+from strandcube.queries import mining
+
+
+class Seen(Exception):
+    pass
 
 
 def _best(codes, sizes, y, m, least, weights):
@@ -65,3 +70,13 @@ def test_cuts_are_the_values_or_equal_shares(spark):
     df = spark.range(6400).select(F.col("id").cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
     a, b = trees.find_edges(VectorAssembler(inputCols=["a", "b"], outputCol="_x").transform(df))
     assert a.tolist() == [200.0 * k - 1 for k in range(1, 32)] and b.tolist() == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_importances_fit_the_forest_only(spark, monkeypatch):
+    def fit(*_, names=classify.MODELS, trees=300, **__):
+        raise Seen(names, trees)
+
+    monkeypatch.setattr(mining, "fit_classifiers", fit)
+    with pytest.raises(Seen) as e:
+        mining.severity_importances(spark, "/root/testdata/sf0.001")
+    assert e.value.args == (("random_forest",), 300)
