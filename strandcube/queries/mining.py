@@ -280,7 +280,7 @@ def severity_models(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataF
 
 def severity_cv(spark: SparkSession, sf_dir: str, trees: int = 300) -> DataFrame:
     """Mean and deviation of each classifier's accuracy over five stratified folds of the training part."""
-    got = kept(spark, sf_dir, f"folds {trees}", lambda: cross_validate(_severity_split(spark, sf_dir).where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees))
+    got = kept(spark, sf_dir, f"folds {trees}", lambda: cross_validate(kept(spark, sf_dir, "severity rows", lambda: _severity_split(spark, sf_dir)).where("is_test = 0"), NUMERIC, CATEGORICAL, "label", trees=trees))
     return spark.createDataFrame(got, "model string, cv_accuracy_mean double, cv_accuracy_std double")
 
 
