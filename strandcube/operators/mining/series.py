@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandcube.operators.mining.trees import GROW_ROWS, fit_boosting, fit_forest
 from strandcube.session import packed
 
 LAGS = (1, 2, 3, 24, 168)
@@ -41,16 +42,20 @@ def tail_split(df: DataFrame, ts: str, horizon: int) -> DataFrame:
 
 
 def fit_models(train: DataFrame, features: Sequence[str], y: str, ridge_alpha: float = 1.0, forest: tuple[int, int] = (250, 16), boosting: tuple[int, int] = (400, 3), seed: int = 42, names: Sequence[str] = ("ridge", "random_forest", "gradient_boosting")) -> dict:
-    """Ridge, random forest and gradient boosting (those named) on assembled features ``_x``."""
+    """Ridge, random forest and gradient boosting (those named) on assembled features ``_x``.
+
+    Trees grow whole in tasks (:mod:`trees`), by MLlib where the rows are more than a task can hold.
+    """
     rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(packed(train)).persist()
     row = rows.agg(F.stddev_pop(y).alias("s"), F.count(F.lit(1)).alias("n")).first()
     reg = ridge_alpha * float(row["s"] or 1.0) / max(row["n"], 1)
+    local = row["n"] <= GROW_ROWS
     kinds = {
-        "ridge": LinearRegression(featuresCol="_x", labelCol=y, regParam=reg, elasticNetParam=0.0, standardization=False),
-        "random_forest": RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=forest[0], maxDepth=forest[1], minInstancesPerNode=3, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed),
-        "gradient_boosting": GBTRegressor(featuresCol="_x", labelCol=y, maxIter=boosting[0], maxDepth=boosting[1], stepSize=0.05, seed=seed),
+        "ridge": lambda: LinearRegression(featuresCol="_x", labelCol=y, regParam=reg, elasticNetParam=0.0, standardization=False).fit(rows),
+        "random_forest": lambda: fit_forest(rows, y, *forest, 3, seed=seed) if local else RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=forest[0], maxDepth=forest[1], minInstancesPerNode=3, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed).fit(rows),
+        "gradient_boosting": lambda: fit_boosting(rows, y, *boosting, 0.05, seed) if local else GBTRegressor(featuresCol="_x", labelCol=y, maxIter=boosting[0], maxDepth=boosting[1], stepSize=0.05, seed=seed).fit(rows),
     }
-    return {n: kinds[n].fit(rows) for n in names}
+    return {n: kinds[n]() for n in names}
 
 
 def predict(models: dict, rows: DataFrame, features: Sequence[str]) -> DataFrame:
