@@ -13,6 +13,7 @@ from strandcube.operators.effects import Field
 from strandcube.operators.plausible import flag_implausible
 from strandcube.operators.references import Reference, orphan_report, orphan_rows, sound_facts
 from strandcube.operators.trailing import daily_sums, fill_days, latest_load, trailing_totals
+from strandcube.session import cut
 from strandcube.sources.tables import table
 
 # The possible ranges of the measurements, and the offsets of their log scales.
@@ -106,9 +107,8 @@ def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days on which the total of rows over the last one day is 0."""
-    t = trailing_totals(_daily(spark, sf_dir), "segment_key", "day", ["n_rows"], (1,))
-    return t.where(F.col("n_rows_1d") == 0).select("segment_key", _day_key("day"))
+    """The idle days of :func:`p5_trailing`, which is made whole and stored first."""
+    return cut(p5_trailing(spark, sf_dir)).where("is_idle = 1").select("segment_key", "day_key")
 
 
 QUERIES = {"p1_filled": p1_filled, "p1_found": p1_found, "p1_limits": p1_limits, "p2_flags": p2_flags, "p2_found": p2_found, "p2_certain": p2_certain, "p3_found": p3_found, "p3_report": p3_report, "p5_trailing": p5_trailing, "p5_found": p5_found}
